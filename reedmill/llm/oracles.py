@@ -69,4 +69,17 @@ select g.split, s.source, count(*) as n_pairs, count(distinct gold_id) as n_eval
 from f join bird_gold g using (gold_id) join s using (bird_id) group by all
 """
 
-ORACLES = {"p1_found": P1, "p1_report": P1_REPORT, "p4_found": P4, "p4_collapse": P4_COLLAPSE, "p5_found": P5}
+P8 = f"""
+with w as (
+  select item_id, regexp_extract_all(lower({latin_sql("text")}), '\\p{{L}}+') as w from benchmark
+), g as (
+  select distinct item_id, array_to_string(w[i : i + 11], ' ') as g from w, unnest(generate_series(1, len(w) - 11)) as t(i)
+), v as (
+  select doc_id, regexp_extract_all(lower({latin_sql("regexp_replace(text, '<[^<>]*>', ' ', 'g')")}), '\\p{{L}}+') as w from documents
+), h as (
+  select doc_id, array_to_string(w[i : i + 11], ' ') as g from v, unnest(generate_series(1, len(w) - 11)) as t(i)
+)
+select distinct item_id, doc_id from g join h using (g)
+"""
+
+ORACLES = {"p8_found": P8, "p1_found": P1, "p1_report": P1_REPORT, "p4_found": P4, "p4_collapse": P4_COLLAPSE, "p5_found": P5}

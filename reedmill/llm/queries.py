@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import copies, entities, overlap
+from . import copies, entities, leaks, overlap, wordsalad
 
 
 def _overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -63,4 +63,23 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("new_split", "n_rows", "n_groups", (F.col("n_rows") / F.col("total")).alias("share"))  # one row a split
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_report, p4_found, p4_collapse, p5_found, p5_assign, p5_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), doc_id="doc_id", text="text", item_id="item_id", item_text="text")
+    return found.select("item_id", "doc_id")
+
+
+def p8_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks and passages of much the same wording: at least 0.6 of the shorter side in common order."""
+    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), doc_id="doc_id", text="text", item_id="item_id", item_text="text", paraphrase=0.85)
+    return found.where("share >= 0.6").select("item_id", "doc_id", "kind", "share")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return wordsalad.spam_pages(wordsalad.salad_scores(table(spark, d, "documents"), "doc_id", "text")).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return wordsalad.salad_scores(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_report, p4_found, p4_collapse, p5_found, p5_assign, p5_shares, p8_found, p8_paraphrases, p9_found, p9_scores)}
