@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-BLOCK_TOKENS = 512
+BLOCK_TOKENS = 128
 ROWS_A_BUCKET = 200_000
 MAX_SHARDS = 4096
 SLOTS_A_SHARD = 256

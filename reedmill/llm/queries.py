@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.script import tidy_label
 from ..session import table
-from . import copies, entities, leaks, overlap, wordsalad
+from . import copies, defects, entities, leaks, mixing, overlap, packing, tokens, wordsalad
 
 
 def _overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +64,71 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("new_split", "n_rows", "n_groups", (F.col("n_rows") / F.col("total")).alias("share"))  # one row a split
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs, replies = table(spark, d, "translation_pairs"), table(spark, d, "bird_english")
+    toki = defects.defective_pairs(
+        pairs, tab="translation_pairs", row_id="pair_id", question="en", answer="tp", toki=True, other_texts=replies.select(F.col("reply_en").alias("text"))
+    )
+    english = defects.defective_pairs(
+        replies, tab="bird_english", row_id="be_id", question="scene_en", answer="reply_en", toki=False, other_texts=pairs.select(F.col("tp").alias("text"))
+    )
+    return toki.unionByName(english)
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """tab, id, source (tidy), n_tokens of the rows that can be mixed."""
+    chats, lines = table(spark, d, "sft_train"), table(spark, d, "bird")
+    label = lambda tab, row_id: {"tab": F.lit(tab), "id": F.col(row_id).cast("long"), "source": tidy_label(F.col("source"))}
+    said = F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
+    return tokens.document_tokens(chats, said, label("sft_train", "ex_id")).unionByName(
+        tokens.document_tokens(lines, F.concat_ws("\n", F.nullif(F.col("ctx"), F.lit("")), F.col("text")), label("bird", "bird_id"))
+    )
+
+
+def _language(lang: Column) -> Column:
+    """One label a language: toki is an old label of tok."""
+    tidy = tidy_label(lang)
+    return F.when(tidy.isin("toki", "toki-pona", "tp"), "tok").when(tidy.isin("english", "eng"), "en").otherwise(tidy)
+
+
+def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of corpus_filtered by source, language and domain, and of synthetic by source."""
+    corpus, made = table(spark, d, "corpus_filtered"), table(spark, d, "synthetic")
+    none = F.lit(None).cast("string")
+    keep = {"tab": F.lit("corpus_filtered"), "id": F.col("ord"), "source": tidy_label(F.col("source")), "lang": _language(F.col("lang")), "domain": tidy_label(F.col("domain"))}
+    a = tokens.document_tokens(corpus, F.col("text"), keep)
+    b = tokens.document_tokens(made, F.col("text"), {"tab": F.lit("synthetic"), "id": F.col("syn_id"), "source": tidy_label(F.col("source")), "lang": none, "domain": none})
+    return tokens.slice_totals(a.unionByName(b), ["tab", "source", "lang", "domain"])
+
+
+def p2_document_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.document_tokens(table(spark, d, "documents"), F.col("text"), {"doc_id": F.col("doc_id")})
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, d, "mix_targets").orderBy("source").limit(10_000).collect()]
+    return mixing.mix(_sizes(spark, d), targets)
+
+
+def p3_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)
+
+
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
+CAPACITY = 2048
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(p2_document_tokens(spark, d), item_id="doc_id", size="n_tokens", capacity=CAPACITY)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_pack(spark, d), CAPACITY)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), doc_id="doc_id", text="text", item_id="item_id", item_text="text")
     return found.select("item_id", "doc_id")
@@ -82,4 +148,10 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return wordsalad.salad_scores(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_report, p4_found, p4_collapse, p5_found, p5_assign, p5_shares, p8_found, p8_paraphrases, p9_found, p9_scores)}
+QUERIES = {
+    q.__name__: q
+    for q in (
+        p1_found, p1_report, p2_token_budget, p2_document_tokens, p3_mix, p3_shares, p4_found, p4_collapse, p5_found, p5_assign, p5_shares, p6_found, p7_pack, p7_fill,
+        p8_found, p8_paraphrases, p9_found, p9_scores,
+    )
+}
