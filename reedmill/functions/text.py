@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values: (pattern, replacement) steps of each markup in the order in which they apply; Java syntax.
 MARKDOWN_STEPS = [
@@ -71,7 +72,7 @@ def strip_templates(text: Column, depth: int = TEMPLATE_DEPTH) -> Column:
     return reduce(lambda t, _: F.regexp_replace(t, WIKI_TEMPLATE, ""), range(depth), text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_templates_exactly(texts):  # noqa: ANN001, ANN201
     """Fixpoint of the template removal, for the rare rows nested deeper than the unrolled depth."""
     import regex

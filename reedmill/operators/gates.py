@@ -143,7 +143,7 @@ def pair_reason(scene: Column, reply: Column, p: Profile = STRICT) -> Column:
 def looks_like_language(line: Column, vocabulary: list[str]) -> Column:
     """Plain characters only, a lower-case word, and at least 60 % of the lower-case words known."""
     low = F.filter(ascii_words(line), lambda w: w.rlike("^[a-z]"))
-    known = F.size(F.filter(low, lambda w: w.isin(vocabulary)))
+    known = F.size(F.filter(low, lambda w: F.lower(w).isin(vocabulary)))
     return line.rlike(rf"(?U)\A{LINE_CHARACTERS}*\z") & (F.size(low) > 0) & (known / F.greatest(F.size(low), F.lit(1)) >= 0.6)
 
 

@@ -49,7 +49,7 @@ def letter_ratio_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 with {SENTENCES}, l as (select doc_id, s, list_filter({q.words("s")}, lambda w: regexp_matches(w, '^[a-z]')) as low from sents where not regexp_matches(s, '[^A-Za-z.,;:!?''"\\-\\s\\x{{a0}}]'))
-select doc_id, count(*) as n_lines from l where len(low) > 0 and len(list_filter(low, lambda w: list_contains({q.names(WORDS)}, w))) * 1.0 / len(low) >= 0.6 group by doc_id
+select doc_id, count(*) as n_lines from l where len(low) > 0 and len(list_filter(low, lambda w: list_contains({q.names(WORDS)}, lower(w)))) * 1.0 / len(low) >= 0.6 group by doc_id
 """)
 def lang_line_filter(spark: SparkSession, d: str) -> DataFrame:
     """Sentences that look like Toki Pona, counted by document."""

@@ -45,7 +45,7 @@ def _distinct_sql(n: int) -> str:
 
 _LINE = f"not regexp_matches(s, '[^A-Za-z.,;:!?''\"\\-\\s\\x{{a0}}]')"
 _LOW = f"list_filter({q.words('s')}, lambda w: regexp_matches(w, '^[a-z]'))"
-_OK_LINE = f"({_LINE} and len({_LOW}) > 0 and len(list_filter({_LOW}, lambda w: list_contains({q.names(WORDS)}, w))) * 1.0 / len({_LOW}) >= 0.6)"
+_OK_LINE = f"({_LINE} and len({_LOW}) > 0 and len(list_filter({_LOW}, lambda w: list_contains({q.names(WORDS)}, lower(w)))) * 1.0 / len({_LOW}) >= 0.6)"
 
 
 @query(f"""

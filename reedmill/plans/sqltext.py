@@ -57,7 +57,7 @@ def reason(sentence: str, p: Profile = STRICT) -> str:
     w, low, t = words(sentence), words(f"lower({sentence})"), f"lower({sentence})"
     known = names([*p.vocabulary, *p.extra])
     capital = f"case when not {legal('w')} then 'illegal_name' end" if p.name_shapes else "null"
-    bad = f"list_filter(list_transform({w}, lambda w: case when regexp_matches(w, '^[A-Z]') then {capital} when not list_contains({known}, w) then 'unknown_word' end), lambda r: r is not null)[1]"
+    bad = f"list_filter(list_transform({w}, lambda w: case when regexp_matches(w, '^[A-Z]') then {capital} when not list_contains({known}, lower(w)) then 'unknown_word' end), lambda r: r is not null)[1]"
     out = [f"when len({w}) = 0 then '{p.blank}'"]
     if p.shortest is not None:
         out.append(f"when len({w}) < {p.shortest} then 'too_short'")
