@@ -35,7 +35,7 @@ def latin_to_ucsur(text: Column) -> Column:
         .when(t == ":", F.lit(chr(MIDDLE_COLON)))
         .when(t == ",", F.lit(""))
         .when(words[F.lower(t)].isNotNull(), words[F.lower(t)])
-        .when(t.rlike("^[A-Z]") & (name(t) != ""), F.concat(F.lit(chr(NAME_START)), name(t), F.lit(chr(NAME_END))))
+        .when(t.rlike("^[A-Z]"), F.concat(F.lit(chr(NAME_START)), name(t), F.lit(chr(NAME_END))))
         .otherwise(F.lit(""))
     )
     tokens = F.regexp_extract_all(text, F.lit("[A-Za-z]+|[.!?:,]"), F.lit(0))
@@ -55,13 +55,13 @@ def ucsur_to_latin(text: Column) -> Column:
 
     def attach(s: Column, mark: str) -> Column:
         n = F.size(s["out"])
-        return F.when(n > 0, F.concat(F.slice(s["out"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.try_element_at(s["out"], F.lit(-1)), F.lit(mark))))).otherwise(s["out"])
+        return F.when(n > 0, F.concat(F.slice(s["out"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.try_element_at(s["out"], F.lit(-1)), F.lit(mark))))).otherwise(F.array(F.lit(mark)))
 
     def step(s: Column, ch: Column) -> Column:
         word, none = words[ch], F.lit(None).cast("string")
         state = lambda out, name: F.struct(out.alias("out"), name.alias("name"))
         return (
-            F.when(ch.isin(*opening), state(s["out"], F.lit("")))
+            F.when(ch.isin(*opening), state(ended(s), F.lit("")))
             .when(ch.isin(*closing), state(ended(s), none))
             .when(ch.isin(*map(chr, IGNORED_MARKS)), s)
             .when(ch.isin(chr(MIDDLE_DOT), chr(MIDDLE_COLON)) & s["name"].isNotNull(), s)

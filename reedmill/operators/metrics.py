@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def nearest_rank(sorted_values: Column, p: float) -> Column:
     """The value at place int(p * n), the last one at most; 0 for none. Neither of the built-in percentiles."""
     n = F.size(sorted_values)
-    return F.coalesce(F.try_element_at(sorted_values, (F.least(F.floor(n * p), n - 1) + 1).cast("int")), F.lit(0))
+    return F.coalesce(F.try_element_at(sorted_values, F.greatest(F.least(F.floor(n * p), n - 1) + 1, F.lit(1)).cast("int")), F.lit(0))
 
 
 def rank_from_counts(counts: Column, p: float) -> Column:
