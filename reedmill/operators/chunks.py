@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.text import ascii_words, ensure_end, sentences, strip
 
 MAX_CHUNK = 600
@@ -45,14 +46,17 @@ def continuation(chunk: Column, draw: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """All runs of n words, joined by blanks."""
-    size = F.size(words)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+        return F.when(F.size(w) >= n, F.transform(places, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(words, runs)
 
 
 def distinct_share(words: Column, n: int) -> Column:
     """Distinct n-grams over all, 1 if there are none."""
-    g = ngrams(words, n)
-    return F.when(F.size(g) > 0, F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(1.0))
+    return let(ngrams(words, n), lambda g: F.when(F.size(g) > 0, F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(1.0)))
 
 
 def framed_tokens(tokens: Column, cap: int, bos: int, eos: int) -> Column:

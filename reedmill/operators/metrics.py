@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
+
 
 def nearest_rank(sorted_values: Column, p: float) -> Column:
     """The value at place int(p * n), the last one at most; 0 for none. Neither of the built-in percentiles."""
@@ -23,32 +25,35 @@ def rank_from_counts(counts: Column, p: float) -> Column:
     return F.coalesce(found["value"], F.lit(0).cast("long"))
 
 
-def char_counts(text: Column, n: int) -> Column:
+def char_ngrams(text: Column, n: Column) -> Column:
     """All character n-grams, white space kept."""
     size = F.length(text)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substr(text, i, n))).otherwise(F.array().cast("array<string>"))
 
 
 def numbered(items: Column) -> Column:
     """Equal items made distinct by their number, so that set operations act on multisets."""
-    s = F.array_sort(items)
-    return F.transform(s, lambda x, i: F.concat_ws("\u0001", x, (i - F.array_position(s, x)).cast("string")))
+    return let(F.array_sort(items), lambda s: F.transform(s, lambda x, i: F.concat_ws("\u0001", x, (i - F.array_position(s, x)).cast("string"))))
 
 
 def chrf(hyp: Column, ref: Column, orders: int = 6, beta: float = 2.0) -> Column:
     """Character n-gram F-score times 100: precision and recall averaged over the orders that both sides have; 0 if a side is empty."""
-    hits, hyps, refs = [], [], []
-    for n in range(1, orders + 1):
-        h, r = char_counts(hyp, n), char_counts(ref, n)
-        both = (F.size(h) > 0) & (F.size(r) > 0)
-        common = F.size(F.array_intersect(numbered(h), numbered(r)))
-        hits.append(F.when(both, 1).otherwise(0))
-        hyps.append(F.when(both, common / F.size(h)).otherwise(0.0))
-        refs.append(F.when(both, common / F.size(r)).otherwise(0.0))
-    n = sum(hits[1:], hits[0])
-    p, r = sum(hyps[1:], hyps[0]) / n, sum(refs[1:], refs[0]) / n
-    score = 100.0 * (1 + beta * beta) * p * r / (beta * beta * p + r)
-    return F.when((F.coalesce(hyp, F.lit("")) == "") | (F.coalesce(ref, F.lit("")) == "") | (n == 0) | (p + r == 0), F.lit(0.0)).otherwise(score)
+
+    def counts(n: Column, h: Column, r: Column) -> Column:
+        both = F.struct(numbered(char_ngrams(h, n)).alias("h"), numbered(char_ngrams(r, n)).alias("r"))
+        return let(both, lambda b: F.struct(F.size(b["h"]).alias("h"), F.size(b["r"]).alias("r"), F.size(F.array_intersect(b["h"], b["r"])).alias("c")))
+
+    def score(found: Column) -> Column:
+        mean = lambda side: F.aggregate(found, F.lit(0.0), lambda s, x: s + x["c"] / x[side], lambda s: s / F.size(found))
+        f = lambda m: F.when(m["p"] + m["r"] > 0, 100.0 * (1 + beta * beta) * m["p"] * m["r"] / (beta * beta * m["p"] + m["r"])).otherwise(0.0)
+        return F.when(F.size(found) > 0, let(F.struct(mean("h").alias("p"), mean("r").alias("r")), f)).otherwise(0.0)
+
+    def scored(t: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.lit(orders)), lambda n: counts(n, t["h"], t["r"]))
+        return let(F.filter(every, lambda x: (x["h"] > 0) & (x["r"] > 0)), score)
+
+    blank = (F.coalesce(hyp, F.lit("")) == "") | (F.coalesce(ref, F.lit("")) == "")
+    return F.when(blank, F.lit(0.0)).otherwise(let(F.struct(hyp.alias("h"), ref.alias("r")), scored))
 
 
 def share(part: Column, whole: Column) -> Column:
