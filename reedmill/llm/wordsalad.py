@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.script import WORDS, glyphs_to_latin
 from ..session import cut_lineage, small_side
 
@@ -64,9 +65,14 @@ def word_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
+def distinct_pairs(pairs: Column) -> Column:
+    """Distinct structs of an array by sorting; ``array_distinct`` compares all with all for structs."""
+    return let(F.sort_array(pairs), lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))))
+
+
 def pair_pmi(pages: DataFrame, shrink: float = SHRINK) -> DataFrame:
     """(a, b, pmi, norm) over all pages; norm is the mean PMI of running text in the pair's class table."""
-    pairs = cut_lineage(pages.select(F.explode(F.array_distinct("pairs")).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")))
+    pairs = cut_lineage(pages.select(F.explode(distinct_pairs(F.col("pairs"))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")))
     cls = lambda c: F.col(c).bitwiseAND(1)
     first = pairs.groupBy("a", cls("b").alias("cb")).agg(F.sum("n").alias("na"))
     second = pairs.groupBy("b", cls("a").alias("ca")).agg(F.sum("n").alias("nb"))
@@ -97,7 +103,7 @@ def salad_scores(docs: DataFrame, doc_id: str, text: str, low: float = LOW, bloc
     )
     blocks = rows.join(table, ["a", "b"]).groupBy("doc", "block").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("pmi")).alias("s"), F.sum(F.col("n") * F.col("norm")).alias("t"))
     per = blocks.groupBy("doc").agg(F.sum(F.when(F.col("s") <= low * F.col("t"), F.col("n")).otherwise(0)).alias("salad"), F.sum("n").alias("n_pairs"), F.sum("s").alias("s"), F.sum("t").alias("t"))
-    repeated = F.when(F.size("pairs") >= 8, 1 - F.size(F.array_distinct("pairs")) / F.size("pairs")).otherwise(F.lit(0.0))
+    repeated = F.when(F.size("pairs") >= 8, 1 - F.size(F.array_distinct(F.transform("pairs", lambda p: F.xxhash64(p["a"], p["b"])))) / F.size("pairs")).otherwise(F.lit(0.0))
     base = pages.select("doc", "n_words", "n_link_words", "n_keyword_words", F.coalesce(repeated, F.lit(0.0)).alias("repeated_share")).where("n_words + n_link_words > 0")
     all_words = F.col("n_words") + F.col("n_link_words")
     return base.join(per, "doc", "left").select(
