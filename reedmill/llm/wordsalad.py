@@ -12,8 +12,8 @@ incoherent. A page is suspect if enough of its words are in incoherent blocks or
 collocations. An exact check of the suspects follows: a page comes out if more than half of its words are link parts or stand in runs
 without any of the words that hold a sentence together.
 
-Counting is partially aggregated before each shuffle. Scoring first adds up equal (page, block, pair) rows, then joins the pair table: broadcast if a
-count shows that it is small, else a shuffle join that AQE splits at hot pairs.
+Counting is partially aggregated before each shuffle. Scoring joins the pair table: broadcast if a count shows that it is small, and then only
+sums of blocks are shuffled; else equal (page, block, pair) rows are added up first and joined by a shuffle that AQE splits at hot pairs.
 """
 
 from __future__ import annotations
@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import let
 from ..functions.script import WORDS, glyphs_to_latin
-from ..session import cut_lineage, small_side
+from ..session import cut_lineage
 
 BLOCK = 10
 SHRINK = 20.0
 LOW = 0.7
 SUSPECT_SHARE, REPEATED_PAIRS = 0.1, 0.4
 KEYWORD_RUN = 8
+BROADCAST_PAIRS = 1_000_000  # 24 bytes and overhead each
 #: A link with or without scheme.
 LINK = r"(?i)(?:https?://|www\.)[^\s<>\"\]\)|]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s<>\"\]\)|]*"
 #: Words that hold sentences together, by language.
@@ -94,14 +95,13 @@ def salad_scores(docs: DataFrame, doc_id: str, text: str, low: float = LOW, bloc
     coherence: mean PMI of the page over that of running text. Null and blank texts and empty tables give no rows; a document id given twice is two pages only if its texts differ.
     """
     pages = word_pairs(docs, doc_id, text)
-    table = small_side(pair_pmi(pages), 2_000_000)
-    rows = (
-        pages.where(F.size("pairs") > 0)
-        .select("doc", F.posexplode("pairs").alias("pos", "p"))
-        .groupBy("doc", F.floor(F.col("pos") / block).alias("block"), "p.a", "p.b")
-        .agg(F.count("*").alias("n"))
-    )
-    blocks = rows.join(table, ["a", "b"]).groupBy("doc", "block").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("pmi")).alias("s"), F.sum(F.col("n") * F.col("norm")).alias("t"))
+    table = pair_pmi(pages)
+    rows = pages.where(F.size("pairs") > 0).select("doc", F.posexplode("pairs").alias("pos", "p")).select("doc", F.floor(F.col("pos") / block).alias("block"), "p.a", "p.b")
+    if table.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
+        scored = rows.withColumn("n", F.lit(1)).join(F.broadcast(table), ["a", "b"])
+    else:
+        scored = rows.groupBy("doc", "block", "a", "b").agg(F.count("*").alias("n")).join(table, ["a", "b"])
+    blocks = scored.groupBy("doc", "block").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("pmi")).alias("s"), F.sum(F.col("n") * F.col("norm")).alias("t"))
     per = blocks.groupBy("doc").agg(F.sum(F.when(F.col("s") <= low * F.col("t"), F.col("n")).otherwise(0)).alias("salad"), F.sum("n").alias("n_pairs"), F.sum("s").alias("s"), F.sum("t").alias("t"))
     repeated = F.when(F.size("pairs") >= 8, 1 - F.size(F.array_distinct(F.transform("pairs", lambda p: F.xxhash64(p["a"], p["b"])))) / F.size("pairs")).otherwise(F.lit(0.0))
     base = pages.select("doc", "n_words", "n_link_words", "n_keyword_words", F.coalesce(repeated, F.lit(0.0)).alias("repeated_share")).where("n_words + n_link_words > 0")
