@@ -8,9 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, through which Catalyst pushes no filter: a filter on a costly computed column would otherwise be
+    evaluated on a second copy of its expression."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
