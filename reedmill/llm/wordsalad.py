@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bind import let
+from ..functions.bind import let, settled
 from ..functions.script import WORDS, glyphs_to_latin
 from ..session import cut_lineage
 
@@ -59,7 +59,7 @@ def word_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     coded = lambda w: F.shiftleft(F.shiftright(F.xxhash64(w), 2), 1).bitwiseOR(F.when(w.isin(*WORDS), 1).otherwise(0).cast("long"))
     n = F.size("h")
     pairs = F.when(n > 1, F.arrays_zip(F.slice("h", 1, n - 1).alias("a"), F.slice("h", 2, n - 1).alias("b")))
-    return (
+    return settled(
         docs.select(F.col(doc_id).alias("doc"), words.alias("w"), links.alias("n_link_words"))
         .select("doc", "n_link_words", keyword_words(F.col("w")).alias("n_keyword_words"), F.transform("w", coded).alias("h"))
         .select("doc", "n_link_words", "n_keyword_words", n.alias("n_words"), pairs.alias("pairs"))
@@ -96,7 +96,7 @@ def salad_scores(docs: DataFrame, doc_id: str, text: str, low: float = LOW, bloc
     """
     pages = word_pairs(docs, doc_id, text)
     table = pair_pmi(pages)
-    rows = pages.where(F.size("pairs") > 0).select("doc", F.posexplode("pairs").alias("pos", "p")).select("doc", F.floor(F.col("pos") / block).alias("block"), "p.a", "p.b")
+    rows = pages.select("doc", F.posexplode("pairs").alias("pos", "p")).select("doc", F.floor(F.col("pos") / block).alias("block"), "p.a", "p.b")
     if table.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
         scored = rows.withColumn("n", F.lit(1)).join(F.broadcast(table), ["a", "b"])
     else:
