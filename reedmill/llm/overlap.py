@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let, settled
 from ..functions.script import alnum_words, tidy_label
 from ..session import small_side
 
@@ -31,8 +32,7 @@ def _coded(words: Column) -> Column:
 
 def _numbered(bag: Column) -> Column:
     """'a a b' -> [a 0, a 1, b 0]: equal words become distinct, so a set intersection is a multiset intersection."""
-    words = F.split(bag, " ")
-    return F.transform(words, lambda w, i: F.concat_ws(" ", w, (i - F.array_position(words, w)).cast("string")))
+    return let(F.split(bag, " "), lambda words: F.transform(words, lambda w, i: F.concat_ws(" ", w, (i - F.array_position(words, w)).cast("string"))))
 
 
 def overlaps(
@@ -50,7 +50,7 @@ def overlaps(
         F.explode(F.array(*[F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in cols]) for cols in eval_texts])).alias("e_text"),
     ).distinct()
     strings = (
-        first.select("e_id", alnum_words(F.col("e_text")).alias("w"))
+        settled(first.select("e_id", alnum_words(F.col("e_text")).alias("w")))
         .where(F.size("w") > 0)
         .select("e_id", F.size("w").alias("n"), F.array_join(F.array_sort("w"), " ").alias("e_bag"), _coded(F.col("w")).alias("e_code"))
         .distinct()
@@ -61,12 +61,13 @@ def overlaps(
         "*", F.explode(F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(i.alias("i"), cut(i).alias("p"), cut(i + 1).alias("end")))).alias("s")
     ).select("e_id", "n", "k", "e_bag", "e_code", F.col("s.i").alias("i"), F.col("s.p").alias("p"), F.expr("substring(e_code, s.p + 1, s.end - s.p)").alias("piece"))
     pieces = (
-        train.select(F.col(train_id).alias("t_id"), alnum_words(F.col(train_text)).alias("w"))
+        settled(train.select(F.col(train_id).alias("t_id"), alnum_words(F.col(train_text)).alias("w")))
         .where(F.size("w") > 0)
         .select("t_id", F.size("w").alias("m"), F.array_join(F.array_sort("w"), " ").alias("t_bag"), _coded(F.col("w")).alias("t_code"))
         .select("*", F.explode(F.expr(f"flatten(transform(sequence(1, least({longest}, m)), l -> transform(sequence(0, m - l), q -> struct(q as q, substring(t_code, q + 1, l) as piece))))")).alias("s"))
         .select("t_id", "m", "t_bag", "t_code", F.col("s.q").alias("q"), F.col("s.piece").alias("piece"))
     )
+    pieces = settled(pieces)
     shift, longer = F.col("q") - F.col("p"), F.greatest("n", "m")
     band = F.floor(F.col("n") + F.col("m") - 2 * min_share * longer + 1e-6).cast("int")
     pairs = (
