@@ -30,6 +30,11 @@ def _coded(words: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(words, code)), "")
 
 
+def _mask(words: Column) -> Column:
+    """A bit for each word's hash. Inserting or deleting a word changes at most one bit, so the differing bits of two masks are a lower bound of their distance."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(63)).cast("int"))))
+
+
 def _numbered(bag: Column) -> Column:
     """'a a b' -> [a 0, a 1, b 0]: equal words become distinct, so a set intersection is a multiset intersection."""
     return let(F.split(bag, " "), lambda words: F.transform(words, lambda w, i: F.concat_ws(" ", w, (i - F.array_position(words, w)).cast("string"))))
@@ -52,20 +57,20 @@ def overlaps(
     strings = (
         settled(first.select("e_id", alnum_words(F.col("e_text")).alias("w")))
         .where(F.size("w") > 0)
-        .select("e_id", F.size("w").alias("n"), F.array_join(F.array_sort("w"), " ").alias("e_bag"), _coded(F.col("w")).alias("e_code"))
+        .select("e_id", F.size("w").alias("n"), F.array_join(F.array_sort("w"), " ").alias("e_bag"), _coded(F.col("w")).alias("e_code"), _mask(F.col("w")).alias("e_mask"))
         .distinct()
         .withColumn("k", k_of(F.col("n")))
     )
     cut = lambda i: F.floor(i * F.col("n") / (F.col("k") + 1)).cast("int")
     segments = strings.select(
         "*", F.explode(F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(i.alias("i"), cut(i).alias("p"), cut(i + 1).alias("end")))).alias("s")
-    ).select("e_id", "n", "k", "e_bag", "e_code", F.col("s.i").alias("i"), F.col("s.p").alias("p"), F.expr("substring(e_code, s.p + 1, s.end - s.p)").alias("piece"))
+    ).select("e_id", "n", "k", "e_bag", "e_code", "e_mask", F.col("s.i").alias("i"), F.col("s.p").alias("p"), F.expr("substring(e_code, s.p + 1, s.end - s.p)").alias("piece"))
     pieces = (
         settled(train.select(F.col(train_id).alias("t_id"), alnum_words(F.col(train_text)).alias("w")))
         .where(F.size("w") > 0)
-        .select("t_id", F.size("w").alias("m"), F.array_join(F.array_sort("w"), " ").alias("t_bag"), _coded(F.col("w")).alias("t_code"))
+        .select("t_id", F.size("w").alias("m"), F.array_join(F.array_sort("w"), " ").alias("t_bag"), _coded(F.col("w")).alias("t_code"), _mask(F.col("w")).alias("t_mask"))
         .select("*", F.explode(F.expr(f"flatten(transform(sequence(1, least({longest}, m)), l -> transform(sequence(0, m - l), q -> struct(q as q, substring(t_code, q + 1, l) as piece))))")).alias("s"))
-        .select("t_id", "m", "t_bag", "t_code", F.col("s.q").alias("q"), F.col("s.piece").alias("piece"))
+        .select("t_id", "m", "t_bag", "t_code", "t_mask", F.col("s.q").alias("q"), F.col("s.piece").alias("piece"))
     )
     pieces = settled(pieces)
     shift, longer = F.col("q") - F.col("p"), F.greatest("n", "m")
@@ -74,6 +79,7 @@ def overlaps(
         pieces.join(small_side(segments), "piece")
         .where(F.least("n", "m") >= min_share * longer - 1e-9)
         .where((F.abs(shift) <= F.col("i")) & (F.abs(shift - (F.col("m") - F.col("n"))) <= F.col("k") - F.col("i")))
+        .where(F.bit_count(F.col("e_mask").bitwiseXOR(F.col("t_mask"))) <= band)
         .withColumn("band", band)
         .where(F.expr("levenshtein(e_code, t_code, band) >= 0"))
     )
