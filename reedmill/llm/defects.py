@@ -24,12 +24,15 @@ from pyspark.sql import functions as F
 from ..functions.script import WORD_OF, WORDS
 
 DEFECTS = ("empty", "refusal", "copied", "truncated", "other_language")
-#: Whether a defect may be told by single words; the others are told by the pair's features only, so that words of rows wrongly taken as sound can't excuse them.
-WORDED = (False, True, False, True, False)
+#: Groups of features, and the groups by which each defect may be told, so that words of rows wrongly taken as sound can't excuse them.
+PAIR, WORDING, LANGUAGE, ENDING = range(4)
+TOLD_BY = ((PAIR,), (PAIR, WORDING, LANGUAGE, ENDING), (PAIR,), (PAIR, WORDING, LANGUAGE, ENDING), (PAIR, LANGUAGE))
 SAMPLE_ROWS = 12_000
 LEXICON_WORDS = 200_000
+CHECKED = ("empty", "copied")
 BITS = 18
 CLEANING_ROUNDS = 2
+RAREST = 4
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*")
 EDGE = regex.compile(r"^[\s\p{Cf}]+|[\s\p{Cf}]+$")
 TOKI = frozenset(WORDS)
@@ -37,6 +40,12 @@ GLYPH_TABLE = {ord(g): f" {w} " for g, w in WORD_OF.items()}
 #: What stands for nothing (compared without case and punctuation).
 NOTHING = frozenset(["", "n a", "na", "none", "null", "nil", "nan", "empty", "blank", "nothing", "tbd", "todo", "undefined", "no answer", "no response", "no reply"])
 PARTICLES = frozenset("li e la pi".split())
+#: English words that hold sentences together.
+ENGLISH = frozenset("""
+a an the this that these those my your his her its our their i you he she it we they me him us them am is are was were be been do does did have has had
+will would can could may might must shall should not no and or but if so as at by for from in into near of off on over than then to under up with without
+what who where when why how there here every each some any all such very too let
+""".split())
 
 
 def words_of(text: str) -> list[str]:
@@ -77,11 +86,11 @@ def features(question: str | None, answer: str | None, lex: Lexicons) -> list[in
     """Hashed features of one pair."""
     raw = regex.sub(r"\s*(?:\.\s?){2,}", "…", EDGE.sub("", answer or ""))
     a, q = words_of(raw), words_of(question or "")
-    f, g = ["bias", f"n{min(len(a), 5)}"], []  # of the pair; of its wording
+    f, g, lang, ending = ["bias", f"n{min(len(a), 5)}"], [], [], []
     if len(a) <= 3:
-        f.append("whole " + " ".join(a))
-    if answer is None or not raw:
-        f.append("no answer")
+        g.append("whole " + " ".join(a))
+    if is_nothing(answer):
+        f.append("nothing")
     wanted = TOKI if lex.toki else lex.asked
     if a:
         n = len(a)
@@ -96,7 +105,9 @@ def features(question: str | None, answer: str | None, lex: Lexicons) -> list[in
             f.append("copy")
         own, asked = sum(w in wanted for w in a) / n, sum(w in lex.asked for w in a) / n
         toki = sum(w in TOKI for w in a) / n
-        f += [f"own{bucket(own)}", f"asked{bucket(asked)}", f"toki{bucket(toki)}", f"langs{bucket(own)} {bucket(toki)}"]
+        english = bucket(sum(w in ENGLISH or "'" in w for w in a) / n)
+        lang += [f"english{english}", f"which{bucket(own)} {bucket(toki)} {english}"]
+        lang += [f"own{bucket(own)}", f"asked{bucket(asked)}", f"toki{bucket(toki)}", f"langs{bucket(own)} {bucket(toki)}"]
         g += ["u " + w for w in ca]
         g += [f"b {x} {y}" for x, y in zip(a, a[1:], strict=False)]
         g += ["first " + a[0], "first " + " ".join(a[:2])]
@@ -104,11 +115,10 @@ def features(question: str | None, answer: str | None, lex: Lexicons) -> list[in
         closed = regex.sub(r"[\"'”»)\]*_’]+$", "", raw)
         mark = closed[-1] if closed and not closed[-1].isalnum() else "w"
         last, known = a[-1], a[-1] in lex.seen
-        f += [f"end {end}", f"mark {mark}", f"known {known}", f"known {known} {mark}", f"len {len(last) < 3} {known} {mark}"]
+        ending += [f"end {end}", f"mark {mark}", f"known {known}", f"known {known} {mark}", f"len {len(last) < 3} {known} {mark}"]
         g += ["last " + last, f"last {last} {mark}", f"last2 {' '.join(a[-2:])}", f"last3 {' '.join(a[-3:])}"]
         g += [f"lastq {last} {w}" for w in q[-3:]]
-    mask = (1 << BITS) - 2
-    return [zlib.crc32(x.encode()) & mask for x in set(f)] + [zlib.crc32(x.encode()) & mask | 1 for x in set(g)]
+    return [zlib.crc32(x.encode()) & ((1 << BITS) - 4) | group for group, names in ((PAIR, f), (WORDING, g), (LANGUAGE, lang), (ENDING, ending)) for x in set(names)]
 
 
 # --- synthetic defects -------------------------------------------------------------------------------------------------------------
@@ -160,11 +170,14 @@ def truncated(answer: str, rng: random.Random, toki: bool) -> str | None:
     return cut + rng.choice(["", "", "", "-", ",", "…", " ...", ";", "—"])
 
 
-def foreign(text: str, rng: random.Random) -> str:
-    """Words of no known language: the letters of a text exchanged by a random rule."""
+def foreign(text: str, own: list[str], rng: random.Random) -> str:
+    """Words of no known language: the letters of a text exchanged by a random rule. Up to a third are words of the wanted language, as languages share some."""
     vowels, others = list("aeiouáéíóúäöü"), list("bcdfghjklmnpqrstvwxyzñçŝĉ")
     to = {v: rng.choice(vowels) for v in "aeiou"} | {c: rng.choice(others) for c in "bcdfghjklmnpqrstvwxyz"}
-    s = "".join(to.get(c, c) for c in text.lower())
+    parts = "".join(to.get(c, c) for c in text.lower()).split(" ")
+    for _ in range(rng.randrange(len(parts) // 3 + 1) if own else 0):
+        parts[rng.randrange(len(parts))] = rng.choice(own)
+    s = " ".join(parts)
     return s[:1].upper() + s[1:]
 
 
@@ -188,7 +201,7 @@ def synthetic(rows: list[tuple[str | None, str | None]], others: list[str], toki
         elif others and k < 0.92:
             out.append((q, dressed(rng.choice(others), rng, 0.2), (4,)))
         else:
-            out.append((q, foreign(rng.choice(others) if others else a or "", rng), (4,)))
+            out.append((q, foreign(rng.choice(others) if others else a or "", words_of(a or ""), rng), (4,)))
     return out
 
 
@@ -208,7 +221,9 @@ def fit_linear(rows: list[list[int]], labels: np.ndarray, rounds: int = 40, pena
     w = np.zeros((len(used), labels.shape[1]), np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     y = labels.astype(np.float32)
-    mask = np.where((used & 1 == 1)[:, None] & ~np.array(WORDED), 0, 1).astype(np.float32)
+    allowed = np.array([[g in told for told in TOLD_BY] for g in range(4)])[used & 3]
+    rare = (used & 3 == WORDING) & (np.bincount(col, minlength=len(used)) < RAREST)  # else single rows would be learnt by heart
+    mask = (allowed & ~rare[:, None]).astype(np.float32)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[col], starts, axis=0), -30, 30)))
         g = np.add.reduceat((p - y)[row_by_col], at, axis=0) / len(rows) + penalty * w
@@ -268,7 +283,8 @@ def train(rows: list[tuple[str | None, str | None]], others: list[str], lex: Lex
     trial = fit_linear([r for r, h in zip(x, held, strict=True) if not h], y[~held]) if not held.all() else fit_linear(x, y)
     at = held if held.any() else ~held
     p, t = scores(trial, [r for r, h in zip(x, at, strict=True) if h]), y[at]
-    cuts = np.array([np.clip(threshold(p[:, j], t[:, j], 4.0), 0.1, 0.9) for j in range(len(DEFECTS))])
+    cuts = np.array([np.clip(threshold(p[:, j], t[:, j], 4.0), 0.1, 0.5) for j in range(len(DEFECTS))])
+    cuts[[DEFECTS.index(k) for k in CHECKED]] = 0.1  # their finds are checked exactly
     weights = fit_linear(x, y)
     return Model(weights, cuts, lex)
 

@@ -51,8 +51,20 @@ def test_plan_places_every_item_once(histogram):
         for r in range(lo, hi):
             used[c0 + (r - lo) // k] += length
     assert len(used) == n and max(used.values(), default=0) <= 50
-    total = sum(x * c for x, c in histogram.items())
-    assert n <= 11 / 9 * -(-total // 50) + 1 + sum(c for x, c in histogram.items() if x > 25)
+    assert n == plain_best_fit([x for x, c in histogram.items() for _ in range(c)], 50)
+
+
+def plain_best_fit(items, capacity):
+    """Containers of best-fit decreasing, item by item."""
+    gaps = []
+    for x in sorted(items, reverse=True):
+        fitting = [g for g in gaps if g >= x]
+        if fitting:
+            gaps.remove(min(fitting))
+            gaps.append(min(fitting) - x)
+        else:
+            gaps.append(capacity - x)
+    return len(gaps)
 
 
 def test_pack(spark):
