@@ -82,19 +82,3 @@ def warmup_cosine(step: Column, peak: float, warmup: int, steps: int) -> Column:
     """Learning rate: linear warm-up, then a cosine to a tenth."""
     progress = (step - warmup) / max(1, steps - warmup)
     return F.when(step < warmup, peak * (step + 1) / warmup).when(step >= steps, F.lit(0.1 * peak)).otherwise(0.1 * peak + 0.9 * peak * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * progress)))
-
-
-def early_stop(points: Column, delta: float, patience: int) -> Column:
-    """struct(best, best_step, stopped_at) of (step, value) points in order: only a gain of more than delta resets the count of stale ones."""
-    zero = F.expr("named_struct('best', cast(null as double), 'best_step', cast(null as bigint), 'stale', 0, 'stopped_at', cast(null as bigint))")
-
-    def step(s: Column, p: Column) -> Column:
-        better = s["best"].isNull() | (p["value"] < s["best"] - delta)
-        stale = F.when(better, F.lit(0)).otherwise(s["stale"] + 1)
-        moved = F.struct(
-            F.when(better, p["value"]).otherwise(s["best"]).alias("best"), F.when(better, p["step"]).otherwise(s["best_step"]).alias("best_step"),
-            stale.alias("stale"), F.when((stale >= patience) & F.lit(patience > 0), p["step"]).alias("stopped_at"),
-        )
-        return F.when(s["stopped_at"].isNotNull(), s).otherwise(moved)
-
-    return F.aggregate(points, zero, step)

@@ -38,21 +38,37 @@ def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.max_by(row, F.struct(*order)).alias("_row")).select("_row.*")
 
 
+def neighbours(df: DataFrame, key: str, ts: str, order: list[str], values: list[str], *, following: bool = False, span_s: int = 86_400) -> DataFrame:
+    """df with ``_has`` and ``_<value>`` of the row before (or after) of the same key.
+
+    Windows cover a key's time spans, not the whole key, so a key with a third of all rows is spread over its spans; the first (last) row of a
+    span takes its neighbour from the nearest span with rows, found among one row a span.
+    """
+    spans = df.withColumn("_span", F.floor(F.unix_micros(F.col(ts)) / (span_s * 1_000_000)))
+    row, at = F.struct(*values), F.struct(*order)
+    shift, pick = (F.lead, F.min_by) if following else (F.lag, F.max_by)
+    edges = spans.groupBy(key, "_span").agg(pick(row, at).alias("_edge"))
+    beyond = edges.withColumn("_beyond", shift("_edge").over(Window.partitionBy(key).orderBy("_span"))).select(F.col(key).alias("_key"), F.col("_span").alias("_at"), "_beyond")
+    near = shift(row).over(Window.partitionBy(key, "_span").orderBy(*order))
+    joined = spans.withColumn("_near", near).join(beyond, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_span") == F.col("_at")), "left")
+    found = joined.withColumn("_found", F.coalesce("_near", "_beyond"))
+    return found.select(*df.columns, F.col("_found").isNotNull().alias("_has"), *[F.col("_found")[v].alias(f"_{v}") for v in values])
+
+
 def shown_intervals(df: DataFrame, key: str, ts: str, seconds: Column, order: list[str]) -> DataFrame:
     """df with ``shown_until``: the expiry of a message or the next message of its key, whichever is first."""
-    following = F.lead(ts).over(Window.partitionBy(key).orderBy(*order))
+    near = neighbours(df, key, ts, order, [ts], following=True)
     expiry = F.timestamp_micros((F.unix_micros(F.col(ts)) + seconds * 1_000_000).cast("long"))
-    return df.withColumn("shown_until", F.least(expiry, following))
+    return near.withColumn("shown_until", F.least(expiry, F.col(f"_{ts}"))).drop("_has", f"_{ts}")
 
 
-def changes(df: DataFrame, key: str, values: list[str], order: list[str]) -> DataFrame:
+def changes(df: DataFrame, key: str, ts: str, values: list[str], order: list[str]) -> DataFrame:
     """Rows at which one of the values differs from the row before of the same key, the first row among them."""
-    w = Window.partitionBy(key).orderBy(*order)
-    before = [F.lag(v).over(w) for v in values]
-    moved = F.row_number().over(w) == 1
-    for v, b in zip(values, before, strict=True):
-        moved = moved | ~F.col(v).eqNullSafe(b)
-    return df.withColumn("_moved", moved).where("_moved").drop("_moved")
+    near = neighbours(df, key, ts, order, values)
+    moved = ~F.col("_has")
+    for v in values:
+        moved = moved | ~F.col(v).eqNullSafe(F.col(f"_{v}"))
+    return near.where(moved).select(*df.columns)
 
 
 def assembled(df: DataFrame, key: str, values: list[str], order: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunks, feeds, sets
+from ..operators import feeds, folds, sets
 from ..session import table
 from .registry import query
 
@@ -77,8 +77,7 @@ def keep_last_per_key(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def early_stop_fold(spark: SparkSession, d: str) -> DataFrame:
     """Where each user's series would stop at patience 6 and gain 0.001. A fold; tested against plain Python."""
-    points = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("step"), "value"))).alias("p"))
-    return points.select("user_id", chunks.early_stop(F.col("p"), 0.001, 6).alias("s")).select("user_id", "s.best", "s.best_step", "s.stopped_at")
+    return folds.early_stops(table(spark, d, "events"), "user_id", "event_id", "value", 0.001, 6)
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
@@ -125,7 +124,7 @@ select event_id, user_id, event_type from (select *, lag(event_type) over (parti
 where k = 1 or before is distinct from event_type
 """)
 def focus_changes(spark: SparkSession, d: str) -> DataFrame:
-    return feeds.changes(_events(spark, d), "user_id", ["event_type"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
+    return feeds.changes(_events(spark, d), "user_id", "ts", ["event_type"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
 
 
 @query("select user_id, event_id, value from events where event_type <> 'error' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1 and event_type <> 'signup'")

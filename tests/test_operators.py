@@ -1,10 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from reedmill.functions.text import ascii_words
-from reedmill.operators import chunks, feeds, increment, metrics, sets
+from reedmill.operators import chunks, feeds, folds, increment, metrics, sets
 
 
 def rows(df):
@@ -49,11 +50,42 @@ def test_stride_windows_score_each_target_once(column, n):
     assert sum(x.scored for x in w) == max(0, n - 1) and all(x.scored > 0 and x.end - x.begin <= 64 for x in w)
 
 
-def test_early_stop(spark):
-    values = [5.0, 4.0, 4.0005, 3.9999, 3.9, 3.95, 3.95]
-    pts = spark.createDataFrame([(list(enumerate(values)),)], "p array<struct<step: long, value: double>>")
-    assert tuple(pts.select(chunks.early_stop(F.col("p"), 0.001, 2).alias("s")).first()["s"])[:2] == (4.0, 1)
-    assert tuple(pts.select(chunks.early_stop(F.col("p"), 0.001, 0).alias("s")).first()["s"])[:2] == (3.9, 4)
+def plain_stop(values, delta, patience):
+    best = step = None
+    stale = 0
+    for i, v in enumerate(values):
+        if best is None or v < best - delta:
+            best, step, stale = v, i, 0
+        else:
+            stale += 1
+            if patience and stale >= patience:
+                return best, step, i
+    return best, step, None
+
+
+@pytest.mark.parametrize("patience", [0, 2, 5])
+def test_early_stops(spark, patience):
+    rng = random.Random(patience)
+    series = {"a": [5.0, 4.0, 4.0005, 3.9999, 3.9, 3.95, 3.95], "b": [1.0], "c": [rng.random() for _ in range(300)], None: [2.0, 1.0]}
+    data = [(k, i, v) for k, vs in series.items() for i, v in enumerate(vs)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "run string, step long, value double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r.run: (r.best, r.best_step, r.stopped_at) for r in folds.early_stops(df, "run", "step", "value", 0.001, patience).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: plain_stop(v, 0.001, patience) for k, v in series.items()}
+    assert folds.early_stops(df.limit(0), "run", "step", "value", 0.001, patience).count() == 0
+
+
+def test_neighbours_across_spans(spark):
+    data = [("a", s, i, i % 3) for i, s in enumerate([0, 0, 5, 100_000, 100_001, 500_000])] + [(None, 7, 90, 1), (None, 200_000, 91, None)]
+    df = spark.createDataFrame(data, "k string, s long, i long, v int").withColumn("ts", F.timestamp_seconds("s"))
+    before = {r.i: r._i for r in feeds.neighbours(df, "k", "ts", ["ts", "i"], ["i"]).collect()}
+    after = {r.i: r._i for r in feeds.neighbours(df, "k", "ts", ["ts", "i"], ["i"], following=True).collect()}
+    assert before == {0: None, 1: 0, 2: 1, 3: 2, 4: 3, 5: 4, 90: None, 91: 90} and after == {0: 1, 1: 2, 2: 3, 3: 4, 4: 5, 5: None, 90: 91, 91: None}
+    assert rows(feeds.changes(df, "k", "ts", ["v"], ["ts", "i"]).select("i")) == [(i,) for i in (0, 1, 2, 3, 4, 5, 90, 91)]
 
 
 def test_nearest_rank(spark, column):
