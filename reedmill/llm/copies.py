@@ -25,7 +25,7 @@ from ..session import cut_lineage
 #: Odd multipliers of the three hash functions (any odd 64-bit numbers do).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SLICE = 16  # log2 of the bits in a slice
-FLUSH_ROWS = 4_000_000
+FLUSH_ROWS = 1_000_000
 
 
 def canonical(*fields: Column) -> Column:
