@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.phonology import is_legal_word
-from ..functions.script import BASE_WORDS, WORDS, tidy_label
-from ..operators import chunks, gates
+from ..functions.script import WORDS, tidy_label
+from ..operators import chunks, gates, inline
 from ..operators import metrics as m
 from ..session import table
 from . import sqltext as q
@@ -34,7 +34,7 @@ def length_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def mode_source_cube(spark: SparkSession, d: str) -> DataFrame:
     out = table(spark, d, "documents").cube("source", "lang")
     return out.agg(
-        F.count("*").alias("docs"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("chars"), F.grouping("source").cast("int").alias("all_sources"), F.grouping("lang").cast("int").alias("all_langs")
+        F.count("*").alias("docs"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("chars"), F.grouping("source").cast("long").alias("all_sources"), F.grouping("lang").cast("long").alias("all_langs")
     )
 
 
@@ -257,13 +257,9 @@ def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select temp, seed, sample from (values (0.0), (0.7), (0.9)) t(temp), (select distinct seed from synthetic where seed is not null) s, range(0, 2) u(sample)
+select cast(temp as double) as temp, seed, sample from (values (0.0), (0.7), (0.9)) t(temp), (select distinct seed from synthetic where seed is not null) s, range(0, 2) u(sample)
 """)
 def experiment_grid(spark: SparkSession, d: str) -> DataFrame:
     """Every seed at three temperatures, two samples each; the grid is exploded in the row."""
     seeds = table(spark, d, "synthetic").where("seed IS NOT NULL").select("seed").distinct()
-    temps = F.array(*[F.lit(t) for t in (0.0, 0.7, 0.9)])
-    return seeds.select("seed", F.explode(temps).alias("temp")).select("temp", "seed", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("sample"))
-
-
-assert len(BASE_WORDS) == 120
+    return inline.grid(seeds, temp=[0.0, 0.7, 0.9], sample=[0, 1]).select("temp", "seed", F.col("sample").cast("long").alias("sample"))

@@ -113,9 +113,6 @@ def global_dedup(spark: SparkSession, d: str) -> DataFrame:
     return sets.first_seen(fresh, [F.col("key")], [F.col("syn_id")]).select("syn_id", "key")
 
 
-_GOLD_KEYS = f"{q.strip('lower(coalesce(ctx, chr(0)))')}, {q.strip('lower(text)')}".replace("chr(0)", "''")
-
-
 @query(f"""
 with g as (select {q.strip("lower(coalesce(ctx, ''))")} as kc, {q.strip("lower(text)")} as kt from bird_gold)
 select bird_id from bird b where not exists (select 1 from g where kc = {q.strip("lower(coalesce(b.ctx, ''))")} and kt = {q.strip("lower(coalesce(b.text, ''))")})
@@ -153,7 +150,7 @@ def inject_after_dedup(spark: SparkSession, d: str) -> DataFrame:
     bare = spark.createDataFrame([(k,) for k in gates.INTERJECTIONS], "k string")
     gold = table(spark, d, "bird_gold").select(text.strip(F.lower("text")).alias("k"))
     many = sets.weighted_union([(sets.without_known(bare, gold, ["k"]), 3)])
-    return lines.select(F.lit("line").alias("kind"), "k", F.lit(1).alias("copy")).unionByName(many.select(F.lit("interjection").alias("kind"), "k", "copy"))
+    return lines.select(F.lit("line").alias("kind"), "k", F.lit(1).cast("long").alias("copy")).unionByName(many.select(F.lit("interjection").alias("kind"), "k", F.col("copy").cast("long").alias("copy")))
 
 
 @query("""
