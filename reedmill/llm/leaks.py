@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import settled
 from ..functions.script import letter_words
 
 RUN = 12
@@ -201,8 +202,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id:
     Null, blank and short texts give nothing; repeated documents give a row each; an empty corpus or test set gives no rows.
     """
     spark = docs.sparkSession
-    corpus = docs.select(F.col(doc_id).alias("doc"), word_hashes(F.col(text)).alias("h")).where(F.size("h") > 0)
-    tests = items.select(F.col(item_id).alias("doc"), word_hashes(F.col(item_text)).alias("h")).where(F.size("h") > 0).distinct()
+    corpus = settled(docs.select(F.col(doc_id).alias("doc"), word_hashes(F.col(text)).alias("h"))).where(F.size("h") > 0)
+    tests = settled(items.select(F.col(item_id).alias("doc"), word_hashes(F.col(item_text)).alias("h"))).where(F.size("h") > 0).distinct()
     schema = f"item {dict(items.dtypes)[item_id]}, doc {dict(docs.dtypes)[doc_id]}, kind string, share double"
     weights = latent_space(corpus, tests)
     out = None
