@@ -119,8 +119,9 @@ def latent_space(docs: DataFrame, items: DataFrame, rank: int = RANK, rounds: in
         for r in sample.mapInPandas(_partial_products(shared), "at binary, y binary").toLocalIterator():  # 16 parts of at most FEATURES x width numbers
             at = np.frombuffer(r["at"], np.int32)
             total[at] += np.frombuffer(r["y"], np.float32).reshape(len(at), width)
-        u, s, _ = np.linalg.svd(total, full_matrices=False)
-        basis = np.where(s > 1e-6 * max(s[0], 1e-30), u, 0).astype(np.float32)
+        q, r = np.linalg.qr(total)  # the singular vectors by way of a small square matrix
+        u, s, _ = np.linalg.svd(r)
+        basis = np.where(s > 1e-6 * max(s[0], 1e-30), q @ u, 0).astype(np.float32)
         shared.unpersist()
     sample.unpersist()
     return basis[:, :rank] * idf[:, None]
