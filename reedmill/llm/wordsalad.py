@@ -71,22 +71,21 @@ def distinct_pairs(pairs: Column) -> Column:
     return let(F.sort_array(pairs), lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))))
 
 
-def pair_pmi(pages: DataFrame, shrink: float = SHRINK) -> DataFrame:
-    """(a, b, pmi, norm) over all pages; norm is the mean PMI of running text in the pair's class table."""
-    pairs = cut_lineage(pages.select(F.explode(distinct_pairs(F.col("pairs"))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")))
+def pair_pmi(pages: DataFrame, shrink: float = SHRINK) -> tuple[DataFrame, list[float]]:
+    """((a, b, pmi), mean PMI of running text by class of a) over all pages. Pairs that aren't in the table are no evidence, pmi 0: those of two classes, and
+    those of one page only where not even one page is expected, which would make up most of a table of all pairs.
+    """
     cls = lambda c: F.col(c).bitwiseAND(1)
-    first = pairs.groupBy("a", cls("b").alias("cb")).agg(F.sum("n").alias("na"))
-    second = pairs.groupBy("b", cls("a").alias("ca")).agg(F.sum("n").alias("nb"))
-    whole = pairs.groupBy(cls("a").alias("ca"), cls("b").alias("cb")).agg(F.sum("n").alias("nn"))  # four rows
+    pairs = cut_lineage(pages.select(F.explode(distinct_pairs(F.col("pairs"))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")))
+    own = pairs.where(cls("a") == cls("b"))
+    first, second = own.groupBy("a").agg(F.sum("n").alias("na")), own.groupBy("b").agg(F.sum("n").alias("nb"))
+    whole = own.groupBy(cls("a").alias("c")).agg(F.sum("n").alias("nn"))  # two rows
     expected = F.col("na") * F.col("nb") / F.col("nn")
-    scored = cut_lineage(
-        pairs.withColumn("ca", cls("a")).withColumn("cb", cls("b"))
-        .join(first, ["a", "cb"]).join(second, ["b", "ca"]).join(F.broadcast(whole), ["ca", "cb"])
-        .select("a", "b", "ca", "cb", "n", F.ln((F.col("n") - 1 + shrink) / (expected + shrink)).alias("pmi"))
-    )
-    own = scored.where("ca = cb").groupBy("ca").agg(F.greatest(F.sum(F.col("n") * F.col("pmi")) / F.sum("n"), F.lit(0.0)).alias("norm"))  # two rows
-    same = F.col("ca") == F.col("cb")
-    return scored.join(F.broadcast(own), "ca", "left").select("a", "b", F.when(same, F.col("pmi")).otherwise(0.0).alias("pmi"), F.coalesce("norm", F.lit(0.0)).alias("norm"))
+    scored = own.withColumn("c", cls("a")).join(first, "a").join(second, "b").join(F.broadcast(whole), "c").withColumn("expected", expected).where("n > 1 OR expected >= 1")
+    scored = cut_lineage(scored.select("a", "b", "c", "n", F.ln((F.col("n") - 1 + shrink) / (F.col("expected") + shrink)).alias("pmi")))
+    sums = scored.groupBy("c").agg(F.sum(F.col("n") * F.col("pmi")).alias("s")).join(whole, "c").collect()  # two rows
+    norms = {r["c"]: max(0.0, r["s"] / r["nn"]) for r in sums}
+    return scored.select("a", "b", "pmi"), [norms.get(0, 0.0), norms.get(1, 0.0)]
 
 
 def salad_scores(docs: DataFrame, doc_id: str, text: str, low: float = LOW, block: int = BLOCK) -> DataFrame:
@@ -95,12 +94,14 @@ def salad_scores(docs: DataFrame, doc_id: str, text: str, low: float = LOW, bloc
     coherence: mean PMI of the page over that of running text. Null and blank texts and empty tables give no rows; a document id given twice is two pages only if its texts differ.
     """
     pages = word_pairs(docs, doc_id, text)
-    table = pair_pmi(pages)
+    table, norms = pair_pmi(pages)
     rows = pages.select("doc", F.posexplode("pairs").alias("pos", "p")).select("doc", F.floor(F.col("pos") / block).alias("block"), "p.a", "p.b")
     if table.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
-        scored = rows.withColumn("n", F.lit(1)).join(F.broadcast(table), ["a", "b"])
+        scored = rows.withColumn("n", F.lit(1)).join(F.broadcast(table), ["a", "b"], "left")
     else:
-        scored = rows.groupBy("doc", "block", "a", "b").agg(F.count("*").alias("n")).join(table, ["a", "b"])
+        scored = rows.groupBy("doc", "block", "a", "b").agg(F.count("*").alias("n")).join(table, ["a", "b"], "left")
+    norm = F.when(F.col("a").bitwiseAND(1) == 1, norms[1]).otherwise(norms[0])
+    scored = scored.select("doc", "block", "n", F.coalesce("pmi", F.lit(0.0)).alias("pmi"), norm.alias("norm"))
     blocks = scored.groupBy("doc", "block").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("pmi")).alias("s"), F.sum(F.col("n") * F.col("norm")).alias("t"))
     per = blocks.groupBy("doc").agg(F.sum(F.when(F.col("s") <= low * F.col("t"), F.col("n")).otherwise(0)).alias("salad"), F.sum("n").alias("n_pairs"), F.sum("s").alias("s"), F.sum("t").alias("t"))
     repeated = F.when(F.size("pairs") >= 8, 1 - F.size(F.array_distinct(F.transform("pairs", lambda p: F.xxhash64(p["a"], p["b"])))) / F.size("pairs")).otherwise(F.lit(0.0))
