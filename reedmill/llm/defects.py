@@ -257,23 +257,24 @@ class Model:
 def train(rows: list[tuple[str | None, str | None]], others: list[str], lex: Lexicons, seed: int = 11) -> Model:
     """rows: a bounded sample of (question, answer), mostly sound."""
     rng = random.Random(seed)
+    own = [features(q, a, lex) for q, a in rows]
 
-    def examples(kept: list, times: int) -> tuple[list[list[int]], np.ndarray]:
-        sound = [r for r in kept if r[1] and words_of(r[1])]
+    def examples(kept: list[int], times: int) -> tuple[list[list[int]], np.ndarray]:
+        sound = [rows[i] for i in kept if rows[i][1] and words_of(rows[i][1])]
         made = synthetic(sound * times, others, lex.toki, rng)
         y = np.zeros((len(kept) + len(made), len(DEFECTS)), np.float32)
         for i, (_, _, ls) in enumerate(made):
             y[len(kept) + i, list(ls)] = 1
-        return [features(q, a, lex) for q, a in kept] + [features(q, a, lex) for q, a, _ in made], y
+        return [own[i] for i in kept] + [features(q, a, lex) for q, a, _ in made], y
 
-    kept = list(rows)
+    kept = list(range(len(rows)))
     for _ in range(CLEANING_ROUNDS):  # each half is judged by a model that hasn't seen it
         rng.shuffle(kept)
         halves = [kept[::2], kept[1::2]]
         models = [fit_linear(*examples(h, 1)) if h else None for h in halves]
         clean = []
         for h, m in zip(halves, reversed(models), strict=True):
-            bad = (scores(m, [features(q, a, lex) for q, a in h]) > 0.3).any(axis=1) if h and m is not None else [False] * len(h)
+            bad = (scores(m, [own[i] for i in h]) > 0.3).any(axis=1) if h and m is not None else [False] * len(h)
             clean += [r for r, x in zip(h, bad, strict=True) if not x]
         kept = clean or kept
     x, y = examples(kept, 2)
