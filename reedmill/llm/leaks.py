@@ -1,13 +1,12 @@
 """Problem 8: evaluation passages inside a training corpus.
 
-Latent semantic retrieval. Passages are windows of 24 words at every 12th word, as hashed TF-IDF vectors with document frequencies
+Runs: every run of 12 words of the items is in a sorted index of hashes, and every run of 12 words of every document is looked up in it,
+so no run is lost, whatever surrounds it; no similarity decides.
+
+Paraphrases: latent semantic retrieval. Passages are windows of 24 words at every 12th word, as hashed TF-IDF vectors with document frequencies
 of the whole corpus. A distributed randomised SVD (seeded range finder with power iterations; workers send partial products of
 bounded size) over a bounded sample of documents and all items gives the latent space. Every window of every document is projected
-and compared with every item window by cosine, in blocks of items. Candidates are verified word by word: the longest run of common words,
-and the longest common subsequence with the item for paraphrases.
-
-A window of 24 words at a stride of 12 contains any run of 12 words whole, so a true pair shares at least half of
-its window with an item window, whatever the position.
+and compared with every item window by cosine, in blocks of items. Candidates are verified by the longest common subsequence with the item.
 """
 
 from __future__ import annotations
@@ -27,7 +26,6 @@ FEATURES = 1 << 14
 RANK = 128
 SAMPLE_DOCS = 20_000
 ITEM_STRIDE = 3
-MIN_COSINE = 0.5
 ITEMS_A_BLOCK = 5_000
 CHUNK_TOKENS = 24_000
 
@@ -151,25 +149,19 @@ def common_subsequence(a: list, b: list) -> int:
     return len(a) - bin(row).count("1")
 
 
-def _search(shared, min_cosine: float, paraphrase: float):
+def _search(shared, paraphrase: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, query, query_item, item_ids, gram, gram_item, words = shared.value
         for ids, hashes, lengths in _chunks(batches):
-            vectors, doc_of = _windows(hashes, lengths, weights)
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
             near: dict[tuple[int, int], tuple[float, int]] = {}
-            codes = []
-            for at in range(0, len(vectors), 2048):
-                cos = vectors[at : at + 2048] @ query.T
-                w, q = np.nonzero(cos >= min_cosine)
-                codes.append(doc_of[at + w] * len(item_ids) + query_item[q])
-                if paraphrase < 1:
+            if paraphrase < 1:
+                vectors, doc_of = _windows(hashes, lengths, weights)
+                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+                for at in range(0, len(vectors), 2048):
+                    cos = vectors[at : at + 2048] @ query.T
                     for x, y in zip(*np.nonzero(cos >= paraphrase), strict=True):
                         key = (int(doc_of[at + x]), int(query_item[y]))
                         near[key] = max(near.get(key, (0.0, 0)), (float(cos[x, y]), at + int(x)))
-            candidates = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-            if not len(candidates):
-                continue
             grams = run_hashes(hashes)
             doc = np.repeat(np.arange(len(lengths)), lengths)
             inside = doc[: len(grams)] == doc[RUN - 1 :]  # a run stays in one document
@@ -178,11 +170,10 @@ def _search(shared, min_cosine: float, paraphrase: float):
             times = (hi - lo)[hit]
             item = gram_item[np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
             found = np.unique(np.repeat(doc[hit], times) * len(item_ids) + item)
-            exact = found[np.isin(found, candidates)]
-            out = pd.DataFrame({"item": item_ids[exact % len(item_ids)], "doc": ids[exact // len(item_ids)], "kind": "run", "share": 1.0})
-            yield out
+            if len(found):
+                yield pd.DataFrame({"item": item_ids[found % len(item_ids)], "doc": ids[found // len(item_ids)], "kind": "run", "share": 1.0})
             if near:
-                done, rows = set(exact.tolist()), []
+                done, rows = set(found.tolist()), []
                 start = np.cumsum(lengths) - lengths
                 first = np.concatenate([[0], np.cumsum(-(-lengths // RUN))[:-1]])
                 for (d, i), (_, win) in near.items():
@@ -197,7 +188,7 @@ def _search(shared, min_cosine: float, paraphrase: float):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, item_text: str, min_cosine: float = MIN_COSINE, paraphrase: float = 1.0) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, item_text: str, paraphrase: float = 1.0) -> DataFrame:
     """(item_id, doc_id, kind, share). kind ``run``: at least 12 consecutive words in common. With paraphrase < 1, pairs of at least that cosine also come with their longest common subsequence.
 
     Null, blank and short texts give nothing; repeated documents give a row each; an empty corpus or test set gives no rows.
@@ -206,7 +197,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id:
     corpus = settled(docs.select(F.col(doc_id).alias("doc"), word_hashes(F.col(text)).alias("h"))).where(F.size("h") > 0)
     tests = settled(items.select(F.col(item_id).alias("doc"), word_hashes(F.col(item_text)).alias("h"))).where(F.size("h") > 0).distinct()
     schema = f"item {dict(items.dtypes)[item_id]}, doc {dict(docs.dtypes)[doc_id]}, kind string, share double"
-    weights = latent_space(corpus, tests)
+    weights = latent_space(corpus, tests) if paraphrase < 1 else np.zeros((FEATURES, 0), np.float32)
     out = None
     blocks = max(1, -(-tests.count() // ITEMS_A_BLOCK))
     for block in range(blocks):
@@ -227,6 +218,6 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id:
         shared = spark.sparkContext.broadcast(
             (weights, q, np.array(query_item, np.int64), np.array([r["doc"] for r in part]), g[order], np.array(gram_item, np.int64)[order], [list(r["h"]) for r in part])
         )
-        found = corpus.mapInPandas(_search(shared, min_cosine, paraphrase), schema)
+        found = corpus.mapInPandas(_search(shared, paraphrase), schema)
         out = found if out is None else out.unionAll(found)
     return out.groupBy("item", "doc", "kind").agg(F.max("share").alias("share")).select(F.col("item").alias(item_id), F.col("doc").alias(doc_id), "kind", "share")

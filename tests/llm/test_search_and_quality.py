@@ -70,6 +70,19 @@ def test_leak_edge_cases(spark, leak_data):
     assert best.kind == "paraphrase" and best.share > 0.8
 
 
+def test_bare_runs_in_unlike_surroundings(spark, leak_data):
+    rng = random.Random(18)
+    items, other = leak_data[0], [f"{a}{b}{c}" for a in ("gro", "fle", "dru", "vez") for b in ("ban", "tiv", "xol", "mer") for c in ("th", "ck", "sh", "nd")]
+    docs = [(i, prose(rng, 12)) for i in range(600)]  # the words of the items are common, those of the surroundings rare
+    for i in range(60):
+        w, page = items[i % 12][1].split(), [rng.choice(other) for _ in range(70)]
+        a, at = rng.randrange(len(w) - 12), rng.randrange(58)
+        docs.append((1000 + i, " ".join([*page[:at], *w[a : a + 12], *page[at:]])))
+    found = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), doc_id="doc_id", text="text", item_id="item_id", item_text="text")
+    want = brute(items, docs)
+    assert rows(found.select("item_id", "doc_id")) == want and len(want) >= 60
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
