@@ -3,10 +3,9 @@
 Runs: every run of 12 words of the items is in a sorted index of hashes, and every run of 12 words of every document is looked up in it,
 so no run is lost, whatever surrounds it; no similarity decides.
 
-Paraphrases: latent semantic retrieval. Passages are windows of 24 words at every 12th word, as hashed TF-IDF vectors with document frequencies
-of the whole corpus. A distributed randomised SVD (seeded range finder with power iterations; workers send partial products of
-bounded size) over a bounded sample of documents and all items gives the latent space. Every window of every document is projected
-and compared with every item window by cosine, in blocks of items. Candidates are verified by the longest common subsequence with the item.
+Paraphrases: every document is read in spans of 48 words at every 12th word (and its last 48; a shorter document is one span), every span is held against every
+item, and the longest common subsequence decides. It is taken only where it can reach the stated share: it is at most the number of words of the span that the item has
+at all, which is counted first for every pair. That bound is exact, so no pair of that share is lost. Subsequences are bit-parallel over many spans at once.
 """
 
 from __future__ import annotations
@@ -22,12 +21,10 @@ from ..functions.bind import settled
 from ..functions.script import letter_words
 
 RUN = 12
-FEATURES = 1 << 14
-RANK = 128
-SAMPLE_DOCS = 20_000
-ITEM_STRIDE = 3
+SPAN = 48  # at most 64, the bits of a word
 ITEMS_A_BLOCK = 5_000
 CHUNK_TOKENS = 24_000
+TABLE_CELLS = 4_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -56,73 +53,53 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nd
             yield (np.array(ids), *_flat(arrays))
 
 
-def _windows(hashes: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors of the windows, index of the document of each). weights: a row for each feature."""
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    doc_of = np.repeat(np.arange(len(lengths)), -(-lengths // RUN))
-    first = np.concatenate([[0], np.cumsum(-(-lengths // RUN))[:-1]])
-    at = starts[doc_of] + RUN * (np.arange(len(doc_of)) - first[doc_of])
-    if not len(at):
-        return np.zeros((0, weights.shape[1]), np.float32), doc_of
-    blocks = np.add.reduceat(weights[hashes & (FEATURES - 1)], at, axis=0)
-    windows = blocks.copy()
-    same = doc_of[1:] == doc_of[:-1]
-    windows[:-1][same] += blocks[1:][same]
-    return windows, doc_of
-
-
-def _partial_products(shared):
-    """Sum over passages of x (x Q): the rows of the product that aren't zero."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf, basis = shared.value
-        weighted, total, seen = basis * idf[:, None], np.zeros((FEATURES, basis.shape[1]), np.float32), np.zeros(FEATURES, np.bool_)
-        for _, hashes, lengths in _chunks(batches):
-            y, _ = _windows(hashes, lengths, weighted)
-            feature = hashes & (FEATURES - 1)
-            ends = np.cumsum(lengths)
-            starts = ends - lengths
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            first = np.concatenate([[0], np.cumsum(-(-lengths // RUN))[:-1]])
-            block = first[doc] + (np.arange(len(hashes)) - starts[doc]) // RUN
-            inner = (np.arange(len(hashes)) - starts[doc]) >= RUN  # a word is in its own block's window and in the one before
-            below = np.vstack([y, np.zeros((1, y.shape[1]), y.dtype)])[np.where(inner, block - 1, len(y))]
-            order = np.argsort(feature, kind="stable")
-            own, at = np.unique(feature[order], return_index=True)
-            total[own] += idf[own, None] * np.add.reduceat((y[block] + below)[order], at, axis=0)
-            seen[feature] = True
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"at": [at.astype(np.int32).tobytes()], "y": [total[at].astype(np.float32).tobytes()]})
-
-    return run
-
-
-def latent_space(docs: DataFrame, items: DataFrame, rank: int = RANK, rounds: int = 3, seed: int = 7) -> np.ndarray:
-    """Weights (features x rank): IDF times an orthonormal basis of the strongest latent directions. docs, items: doc, h."""
-    spark = docs.sparkSession
-    counts = docs.select(F.explode(F.array_distinct(F.transform("h", lambda x: x.bitwiseAND(FEATURES - 1)))).alias("f")).groupBy("f").count()
-    n = docs.count()
-    df = np.zeros(FEATURES)
-    for r in counts.collect():  # at most FEATURES rows
-        df[r["f"]] = r["count"]
-    idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.1)
-    share = min(1.0, SAMPLE_DOCS / max(1, n))
-    sample = docs.where(F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).unionAll(items).repartition(16)
-    sample = sample.persist()
-    width = min(rank + 10, FEATURES)
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, width)))[0].astype(np.float32)
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((idf, basis))
-        total = np.zeros((FEATURES, width))
-        for r in sample.mapInPandas(_partial_products(shared), "at binary, y binary").toLocalIterator():  # 16 parts of at most FEATURES x width numbers
-            at = np.frombuffer(r["at"], np.int32)
-            total[at] += np.frombuffer(r["y"], np.float32).reshape(len(at), width)
-        q, r = np.linalg.qr(total)  # the singular vectors by way of a small square matrix
-        u, s, _ = np.linalg.svd(r)
-        basis = np.where(s > 1e-6 * max(s[0], 1e-30), q @ u, 0).astype(np.float32)
-        shared.unpersist()
-    sample.unpersist()
-    return basis[:, :rank] * idf[:, None]
+def _spans(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length) of the spans of each document."""
+    n = 1 + -(-np.maximum(lengths - SPAN, 0) // RUN)
+    doc = np.repeat(np.arange(len(lengths)), n)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    at = np.minimum(RUN * k, np.maximum(lengths[doc] - SPAN, 0))
+    return doc, at + (np.cumsum(lengths) - lengths)[doc], np.minimum(lengths[doc], SPAN)
+
+
+def _near(codes: np.ndarray, lengths: np.ndarray, item_codes: list[np.ndarray], n_codes: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, item, share) of the spans of at least that share. codes: from 1, 0 for a word of no item."""
+    docs, items, shares = [], [], []
+    doc, at, size = _spans(lengths)
+    n = max(64, min(2048, TABLE_CELLS // (n_codes + 1)))
+    padded = np.concatenate([codes, np.zeros(SPAN, codes.dtype)])
+    for b in range(0, len(doc), n):
+        d, z = doc[b : b + n], size[b : b + n]
+        words = np.where(np.arange(SPAN) < z[:, None], padded[at[b : b + n, None] + np.arange(SPAN)], 0)
+        own, place = np.unique(words, return_inverse=True)
+        place, lookup = place.reshape(words.shape), np.full(n_codes + 1, -1)
+        lookup[own] = np.arange(len(own))
+        lookup[0] = -1
+        masks = np.zeros((len(own), len(d)), np.uint64)  # where each word stands in each span
+        for k in range(SPAN):
+            masks[place[:, k], np.arange(len(d))] |= np.uint64(1 << k)
+        full = np.uint64((1 << SPAN) - 1)
+        inside = full >> (SPAN - z).astype(np.uint64)
+        for i, w in enumerate(item_codes):
+            rows = lookup[w]
+            rows = rows[rows >= 0]
+            if not len(rows):
+                continue
+            shorter = np.minimum(len(w), z)
+            may = np.flatnonzero(np.bitwise_count(np.bitwise_or.reduce(masks[np.unique(rows)], axis=0)) >= least * shorter - 1e-9)
+            if not len(may):
+                continue
+            part = masks[:, may]
+            row = np.full(len(may), full)
+            for r in rows:
+                u = row & part[r]
+                row = (row + u) | (row - u)
+            share = (z[may] - np.bitwise_count(row & inside[may]).astype(np.int64)) / shorter[may]
+            hit = np.flatnonzero(share >= least)
+            docs.append(d[may[hit]])
+            items.append(np.full(len(hit), i))
+            shares.append(share[hit])
+    return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((docs, np.int64), (items, np.int64), (shares, float)))
 
 
 def run_hashes(hashes: np.ndarray, n: int = RUN) -> np.ndarray:
@@ -151,17 +128,8 @@ def common_subsequence(a: list, b: list) -> int:
 
 def _search(shared, paraphrase: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, query, query_item, item_ids, gram, gram_item, words = shared.value
+        item_ids, gram, gram_item, words, item_codes = shared.value
         for ids, hashes, lengths in _chunks(batches):
-            near: dict[tuple[int, int], tuple[float, int]] = {}
-            if paraphrase < 1:
-                vectors, doc_of = _windows(hashes, lengths, weights)
-                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-                for at in range(0, len(vectors), 2048):
-                    cos = vectors[at : at + 2048] @ query.T
-                    for x, y in zip(*np.nonzero(cos >= paraphrase), strict=True):
-                        key = (int(doc_of[at + x]), int(query_item[y]))
-                        near[key] = max(near.get(key, (0.0, 0)), (float(cos[x, y]), at + int(x)))
             grams = run_hashes(hashes)
             doc = np.repeat(np.arange(len(lengths)), lengths)
             inside = doc[: len(grams)] == doc[RUN - 1 :]  # a run stays in one document
@@ -172,52 +140,40 @@ def _search(shared, paraphrase: float):
             found = np.unique(np.repeat(doc[hit], times) * len(item_ids) + item)
             if len(found):
                 yield pd.DataFrame({"item": item_ids[found % len(item_ids)], "doc": ids[found // len(item_ids)], "kind": "run", "share": 1.0})
-            if near:
-                done, rows = set(found.tolist()), []
-                start = np.cumsum(lengths) - lengths
-                first = np.concatenate([[0], np.cumsum(-(-lengths // RUN))[:-1]])
-                for (d, i), (_, win) in near.items():
-                    if d * len(item_ids) + i not in done:
-                        p = start[d] + RUN * (win - first[d])
-                        near_text = hashes[max(start[d], p - RUN) : min(start[d] + lengths[d], p + 3 * RUN)].tolist()
-                        share = common_subsequence(words[i], near_text) / max(1, min(len(words[i]), len(near_text)))
-                        rows.append((item_ids[i], ids[d], "paraphrase", share))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["item", "doc", "kind", "share"])
+            if paraphrase < 1 and len(words):
+                at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+                d, i, share = _near(np.where(words[at] == hashes, at + 1, 0), lengths, item_codes, len(words), paraphrase)
+                new = ~np.isin(d * len(item_ids) + i, found)
+                if new.any():
+                    yield pd.DataFrame({"item": item_ids[i[new]], "doc": ids[d[new]], "kind": "paraphrase", "share": share[new]})
 
     return run
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, item_text: str, paraphrase: float = 1.0) -> DataFrame:
-    """(item_id, doc_id, kind, share). kind ``run``: at least 12 consecutive words in common. With paraphrase < 1, pairs of at least that cosine also come with their longest common subsequence.
+    """(item_id, doc_id, kind, share). kind ``run``: at least 12 consecutive words in common. With paraphrase < 1, also the other pairs of which a span of the document and the item
+    have at least that share of the shorter side as their longest common subsequence.
 
-    Null, blank and short texts give nothing; repeated documents give a row each; an empty corpus or test set gives no rows.
+    Null and blank texts give nothing, texts of less than 12 words no run; repeated documents give a row each; an empty corpus or test set gives no rows.
     """
     spark = docs.sparkSession
     corpus = settled(docs.select(F.col(doc_id).alias("doc"), word_hashes(F.col(text)).alias("h"))).where(F.size("h") > 0)
     tests = settled(items.select(F.col(item_id).alias("doc"), word_hashes(F.col(item_text)).alias("h"))).where(F.size("h") > 0).distinct()
     schema = f"item {dict(items.dtypes)[item_id]}, doc {dict(docs.dtypes)[doc_id]}, kind string, share double"
-    weights = latent_space(corpus, tests) if paraphrase < 1 else np.zeros((FEATURES, 0), np.float32)
     out = None
     blocks = max(1, -(-tests.count() // ITEMS_A_BLOCK))
     for block in range(blocks):
         part = tests.where(F.pmod(F.xxhash64("doc"), F.lit(blocks)) == block).orderBy("doc").collect()  # about ITEMS_A_BLOCK rows
-        query, query_item, gram, gram_item = [np.zeros((0, weights.shape[1]), np.float32)], [], [np.zeros(0, np.uint64)], []
-        for i, r in enumerate(part):
-            h = np.array(r["h"], np.int64)
-            at = sorted({*range(0, max(1, len(h) - RUN + 1), ITEM_STRIDE), max(0, len(h) - RUN)})
-            query.append(np.stack([weights[h[a : a + RUN] & (FEATURES - 1)].sum(0) for a in at]))
-            query_item += [i] * len(at)
+        gram, gram_item, texts = [np.zeros(0, np.uint64)], [], [np.array(r["h"], np.int64) for r in part]
+        for i, h in enumerate(texts):
             g = np.unique(run_hashes(h))
             gram.append(g)
             gram_item += [i] * len(g)
-        q = np.concatenate(query)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
         g = np.concatenate(gram)
         order = np.argsort(g, kind="stable")
-        shared = spark.sparkContext.broadcast(
-            (weights, q, np.array(query_item, np.int64), np.array([r["doc"] for r in part]), g[order], np.array(gram_item, np.int64)[order], [list(r["h"]) for r in part])
-        )
+        words = np.unique(np.concatenate([np.zeros(0, np.int64), *texts]))
+        item_codes = [np.searchsorted(words, h) + 1 for h in texts]
+        shared = spark.sparkContext.broadcast((np.array([r["doc"] for r in part]), g[order], np.array(gram_item, np.int64)[order], words, item_codes))
         found = corpus.mapInPandas(_search(shared, paraphrase), schema)
         out = found if out is None else out.unionAll(found)
     return out.groupBy("item", "doc", "kind").agg(F.max("share").alias("share")).select(F.col("item").alias(item_id), F.col("doc").alias(doc_id), "kind", "share")

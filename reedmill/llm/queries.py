@@ -136,7 +136,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_paraphrases(spark: SparkSession, d: str) -> DataFrame:
     """Leaks and passages of much the same wording: at least 0.6 of the shorter side in common order."""
-    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), doc_id="doc_id", text="text", item_id="item_id", item_text="text", paraphrase=0.85)
+    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), doc_id="doc_id", text="text", item_id="item_id", item_text="text", paraphrase=0.6)
     return found.where("share >= 0.6").select("item_id", "doc_id", "kind", "share")
 
 

@@ -83,6 +83,28 @@ def test_bare_runs_in_unlike_surroundings(spark, leak_data):
     assert rows(found.select("item_id", "doc_id")) == want and len(want) >= 60
 
 
+def test_paraphrases_equal_brute_force(spark, leak_data):
+    rng = random.Random(28)
+    items, other = [*leak_data[0], (50, " ".join(f"{a}{b}" for a in ("ba", "de", "gi") for b in "bcdfghjklmnpqrstvwxyzaeiou"))], [f"{a}{b}{c}" for a in ("gro", "fle") for b in ("ban", "tiv", "xol", "mer") for c in ("th", "ck", "nd")]
+    docs = [(i, prose(rng, 12)) for i in range(100)] + [(200, "mi pona"), (201, items[0][1].split()[0])]
+    for i in range(52):
+        w = items[i % 13][1].split()[:40]
+        changed = [rng.choice(other) if k % (6, 10)[i % 2] == 3 else x for k, x in enumerate(w)]
+        page, at = [rng.choice(other) for _ in range(60)], rng.randrange(60)
+        docs.append((1000 + i, " ".join([*page[:at], *changed, *page[at:]])))
+    words = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+
+    def best(a, b):
+        starts = {*range(0, max(1, len(b) - 47), 12), max(0, len(b) - 48)}
+        return max(leaks.common_subsequence(a, b[k : k + 48]) / min(len(a), len(b), 48) for k in starts)
+
+    runs = set(brute(items, docs))
+    want = sorted((i, d, s) for i, t in items for d, x in docs if (i, d) not in runs and (s := round(best(words(t), words(x)), 6)) >= 0.6)
+    found = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), doc_id="doc_id", text="text", item_id="item_id", item_text="text", paraphrase=0.6)
+    assert rows(found.where("kind = 'paraphrase'").select("item_id", "doc_id", F.round("share", 6))) == want
+    assert sum(d >= 1000 for _, d, _ in want) >= 52
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
