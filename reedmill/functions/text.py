@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .bind import let
+
 # Fixed values: (pattern, replacement) steps of each markup in the order in which they apply; Java syntax.
 MARKDOWN_STEPS = [
     (r"(?s)\A---\n.*?\n---\n", ""),
@@ -68,13 +70,21 @@ def strip_markdown(text: Column) -> Column:
 
 
 def strip_templates(text: Column, depth: int = TEMPLATE_DEPTH) -> Column:
-    """Innermost {{...}} removed ``depth`` times; deeper nesting, told by ``has_template``, is left to strip_templates_exactly."""
-    return reduce(lambda t, _: F.regexp_replace(t, WIKI_TEMPLATE, ""), range(depth), text)
+    """Innermost {{...}} removed until nothing changes: ``depth`` times unrolled, then in a loop for the rows that still hold one (told by ``has_template``)."""
+    once = lambda t: F.regexp_replace(t, WIKI_TEMPLATE, "")
+    passes = lambda t: F.sequence(F.lit(1), F.size(F.split(t, r"\{\{")))  # noqa: E731  (each pass takes a {{ away or is the last)
+    step = lambda a, _: F.when(a["on"], let(once(a["t"]), lambda n: F.struct(n.alias("t"), (n != a["t"]).alias("on")))).otherwise(a)
+    rest = lambda t: F.aggregate(passes(t), F.struct(t.alias("t"), F.lit(True).alias("on")), step)["t"]
+    return let(reduce(lambda t, _: once(t), range(depth), text), lambda t: F.when(has_template(t), rest(t)).otherwise(t))
+
+
+def has_template(text: Column) -> Column:
+    return text.rlike(WIKI_TEMPLATE)
 
 
 @F.pandas_udf(StringType())
 def strip_templates_exactly(texts):  # noqa: ANN001, ANN201
-    """Fixpoint of the template removal, for the rare rows nested deeper than the unrolled depth."""
+    """Fixpoint of the template removal in Python."""
     import regex
 
     inner = regex.compile(r"\{\{[^{}]*?\}\}", regex.S)
@@ -88,7 +98,7 @@ def strip_templates_exactly(texts):  # noqa: ANN001, ANN201
 
 
 def strip_wikitext(text: Column, exact: bool = False) -> Column:
-    """Plain text of wiki markup. exact: no bound on template nesting, at the price of a Python stage."""
+    """Plain text of wiki markup; no bound on template nesting. exact: templates are removed in a Python stage, with the same result."""
     plain = _apply(text, WIKI_BLOCKS)
     plain = strip_templates_exactly(plain) if exact else strip_templates(plain)
     return strip(_apply(plain, WIKI_STEPS))

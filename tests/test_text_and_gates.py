@@ -7,6 +7,8 @@ from hypothesis import strategies as st
 from reedmill.functions import text
 from reedmill.functions.script import WORDS, tidy_label
 from reedmill.operators import gates
+from reedmill.plans import corpus
+from reedmill.sources import readers
 
 
 def test_sentences(column):
@@ -25,6 +27,21 @@ def test_markup(column):
     assert column(lambda c: text.strip_wikitext(c, exact=True), [deep]) == ["y"]
 
 
+def test_templates_at_any_depth(spark, column, tmp_path):
+    deep = lambda n: "a" + "{{x" * n + "}}" * n + "y"
+    odd = ["{{" * 30 + "x" + "}}" * 12 + "y", "{{{a}}} b", "{{a|{{b}}", "{{a" * 20 + "{b}" + "}}" * 20, "{{a}}" * 50 + deep(11), "plain", "", None]
+    values = [deep(n) for n in (1, 7, 8, 9, 10, 40, 300)] + odd
+    got = column(text.strip_wikitext, values)
+    assert got[:7] == ["ay"] * 7
+    assert got == column(lambda c: text.strip_wikitext(c, exact=True), values)
+    wiki = "'''B''' {{a {{b}} c}}[[File:x.png|[[y]] z]][[ma|tomo]] [[telo]]"
+    assert column(text.strip_wikitext, [wiki]) == ["B tomo telo"]
+    (tmp_path / "dump.xml").write_text(f"<mediawiki><page><title>T</title><ns>0</ns><revision><text>{deep(12)}</text></revision></page></mediawiki>")
+    assert [tuple(r) for r in readers.wiki_pages(spark, str(tmp_path / "dump.xml")).collect()] == [("T", "ay")]
+    spark.createDataFrame([(1, deep(12)), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in corpus.wikitext_strip(spark, str(tmp_path)).collect()] == [(1, 2, hashlib.sha256(b"ay").hexdigest())]
+
+
 def test_small_helpers(column):
     assert column(text.ensure_end, ["a", "a.", "a?", ""]) == ["a.", "a.", "a?", "."]
     assert column(text.squeeze, [" a   b\n"]) == ["a b"]
