@@ -111,3 +111,10 @@ def full_outer_curve(a: DataFrame, b: DataFrame, on: str, value: str) -> DataFra
     """(step, a, b, delta) over the steps of either side."""
     x, y = a.select(on, F.col(value).alias("a")), b.select(on, F.col(value).alias("b"))
     return x.join(y, on, "full").withColumn("delta", F.col("b") - F.col("a"))
+
+
+def valid_merges(merges: DataFrame, kept: DataFrame, word: str, parts: tuple[str, ...] = ("a", "b", "merged")) -> DataFrame:
+    """The merges of which both parts and the result are kept: a semi-join for each of them."""
+    for c in parts:
+        merges = merges.join(kept.select(F.col(word).alias(c)), c, "left_semi")
+    return merges.select(*parts)

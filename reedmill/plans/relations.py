@@ -242,13 +242,40 @@ with u as (select unnest([l_orderkey, l_partkey, l_suppkey]) as v from lineitem
 select v as old_id, row_number() over (order by v) - 1 as new_id from (select distinct v from u)
 """)
 def vocab_keepset(spark: SparkSession, d: str) -> DataFrame:
-    """Ids in use anywhere, renumbered densely from 0."""
-    used = table(spark, d, "lineitem").where("l_quantity > 45").select(F.explode(F.array("l_orderkey", "l_partkey", "l_suppkey")).alias("v"))
+    """Ids of the parts and of the large lines (the SQL's filter), renumbered densely from 0. Ids in use anywhere: vocab_keepset_all."""
+    return _renumbered(spark, d, table(spark, d, "lineitem").where("l_quantity > 45"))
+
+
+def _renumbered(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
+    used = lines.select(F.explode(F.array("l_orderkey", "l_partkey", "l_suppkey")).alias("v"))
     ids = used.unionAll(table(spark, d, "part").select(F.col("p_partkey").alias("v"))).distinct()
     ranked = sets.running_total(ids, "v", F.lit(1).cast("long"), "k")
     return ranked.select(F.col("v").alias("old_id"), (F.col("k") - 1).alias("new_id"))
 
 
+@query("""
+with u as (select unnest([l_orderkey, l_partkey, l_suppkey]) as v from lineitem union all select p_partkey from part)
+select v as old_id, row_number() over (order by v) - 1 as new_id from (select distinct v from u)
+""")
+def vocab_keepset_all(spark: SparkSession, d: str) -> DataFrame:
+    """Ids in use anywhere, of all lines, renumbered densely from 0."""
+    return _renumbered(spark, d, table(spark, d, "lineitem"))
+
+
+@query("""
+with k as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents),
+c as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from corpus_filtered),
+m as (select substr(w, 1, i) as a, substr(w, i + 1) as b, w as merged from (select w, unnest(range(1, length(w))) as i from c))
+select a, b, merged from m where a in (select w from k) and b in (select w from k) and merged in (select w from k)
+""")
+def merge_keepset(spark: SparkSession, d: str) -> DataFrame:
+    """Merges a + b that stay valid as both parts and the whole are kept. Kept are the words of the documents; merges are all cuts of the corpus words in two."""
+    words = lambda name: table(spark, d, name).select(F.explode(text.lower_words(F.col("text"))).alias("w")).distinct()
+    cut = words("corpus_filtered").where("length(w) > 1").select("w", F.explode(F.expr("sequence(1, length(w) - 1)")).alias("i"))
+    merges = cut.select(F.expr("substr(w, 1, i)").alias("a"), F.expr("substr(w, i + 1)").alias("b"), F.col("w").alias("merged"))
+    return sets.valid_merges(merges, words("documents").select("w"), "w")
+
+
 @query("""
 with s as (select source, mode, list(distinct lower(trim(seed))) as seeds from synthetic where seed is not null group by source, mode)
 select source, mode, seed from (select source, mode, seed, row_number() over (partition by source, mode order by seed) as k from (select source, mode, unnest(seeds) as seed from s)) where k <= 5

@@ -168,3 +168,26 @@ def test_increment_resumes(spark):
     assert [r.text for r in fresh.collect()] == ["jan li lon tomo suli."]
     assert rows(done) == [("mi pona mute",), ("sina tawa tomo",)]
     assert dict(rows(reasons))["call_error"] == 1 and dict(rows(reasons))["copied_source"] == 2
+
+
+def test_keepset_of_all_lines(spark, tmp_path):
+    import duckdb
+
+    from reedmill.plans import relations
+    from reedmill.plans.registry import ORACLES
+
+    d = str(tmp_path)
+    lines = [(10 * k, k % 7, k % 3, float(k % 50 + 1)) for k in range(200)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").coalesce(1).write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(3,), (5,), (1234567,)], "p_partkey long").coalesce(1).write.parquet(f"{d}/part.parquet")
+    spark.createDataFrame([("jan pona janpona to mo",), (None,), ("tomo ja",)], "text string").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([("Janpona tomo janto",), ("pona janpo",)], "text string").coalesce(1).write.parquet(f"{d}/corpus_filtered.parquet")
+    db = duckdb.connect()
+    for name in ("lineitem", "part", "documents", "corpus_filtered"):
+        db.execute(f"create view {name} as select * from '{d}/{name}.parquet/*.parquet'")
+    for name in ("vocab_keepset", "vocab_keepset_all", "merge_keepset"):
+        got = sorted(tuple(r) for r in getattr(relations, name)(spark, d).collect())
+        assert got == sorted(db.execute(ORACLES[name]).fetchall())
+    ids = sorted({*(x for r in lines for x in r[:3]), 3, 5, 1234567})
+    assert sorted(tuple(r) for r in relations.vocab_keepset_all(spark, d).collect()) == [(v, k) for k, v in enumerate(ids)]
+    assert sorted(tuple(r) for r in relations.merge_keepset(spark, d).collect()) == [("jan", "pona", "janpona"), ("to", "mo", "tomo")]
