@@ -10,6 +10,7 @@ cover all rows. Where a defect is exactly defined (empty, copied) an exact check
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -28,7 +29,7 @@ DEFECTS = ("empty", "refusal", "copied", "truncated", "other_language")
 PAIR, WORDING, LANGUAGE, ENDING = range(4)
 TOLD_BY = ((PAIR,), (PAIR, WORDING, LANGUAGE, ENDING), (PAIR,), (PAIR, WORDING, LANGUAGE, ENDING), (PAIR, LANGUAGE))
 SAMPLE_ROWS = 12_000
-LEXICON_WORDS = 200_000
+MEMO_WORDS = 200_000
 CHECKED = ("empty", "copied")
 BITS = 18
 CLEANING_ROUNDS = 2
@@ -56,6 +57,30 @@ def bucket(x: float) -> int:
     return int(x * 5 + 1e-9)
 
 
+class HashedWords:
+    """A set of words as sorted 64-bit hashes: 8 bytes a word, so that all words of a large table fit."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.memo = np.unique(hashes.astype(np.int64)), {}
+
+    def __contains__(self, word: str) -> bool:
+        known = self.memo.get(word)
+        if known is None:
+            h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big", signed=True)
+            at = int(np.searchsorted(self.hashes, h))
+            known = at < len(self.hashes) and int(self.hashes[at]) == h
+            if len(self.memo) >= MEMO_WORDS:  # only of answers given before
+                self.memo.clear()
+            self.memo[word] = known
+        return known
+
+    def __or__(self, other: HashedWords) -> HashedWords:
+        return HashedWords(np.concatenate([self.hashes, other.hashes]))
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes, "memo": {}}
+
+
 class Lexicons:
     """seen: words that occur inside answers or in questions; asked: words of questions."""
 
@@ -313,10 +338,11 @@ def _spark_words(c: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(F.translate(c, "’", "'")), F.lit(r"[\p{L}\p{M}\p{N}]+(?:'[\p{L}\p{M}]+)*"), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _frequent(words: DataFrame, least: int) -> frozenset[str]:
-    """At most LEXICON_WORDS words that occur at least ``least`` times in the whole table."""
+def _frequent(words: DataFrame, least: int) -> HashedWords:
+    """All words that occur at least ``least`` times in the whole table."""
     counts = words.groupBy("w").count().where(F.col("count") >= least)
-    return frozenset(r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(LEXICON_WORDS).collect())
+    h = F.conv(F.substring(F.md5("w"), 1, 16), 16, -10).cast("long")
+    return HashedWords(counts.select(h.alias("h")).toArrow()["h"].to_numpy())
 
 
 def _sample(df: DataFrame, *cols: str) -> list[tuple]:

@@ -155,6 +155,13 @@ def pair_table(rng, n):
     return out
 
 
+def test_lexicon_has_all_words(spark):
+    n = 201_000
+    words = spark.range(2 * n).selectExpr(f"concat('wórd', id % {n}) as w").unionAll(spark.createDataFrame([("once",), ("pona",), ("pona",)], "w string"))
+    known = defects._frequent(words, 2)
+    assert all(f"wórd{i}" in known for i in range(n)) and "pona" in known and "once" not in known and f"wórd{n}" not in known
+
+
 def test_defects_held_out(spark):
     data = pair_table(random.Random(12), 2500)
     df = spark.createDataFrame([(i, q, a) for i, q, a, _ in data], "rid long, q string, a string").withColumn("defect", F.lit("clash")).withColumn("row_id", F.lit(0))
