@@ -1,11 +1,11 @@
 """Problem 7: documents into containers of one capacity, with as little unused room as possible.
 
 Only lengths matter, and there are at most ``capacity`` different ones: the histogram of lengths is the whole problem, whatever the number of
-documents. Lengths are routed to tiers (half the capacity and more, a quarter and more, ...). Tier by tier, longest first, the plan
-fills the gaps that containers of longer tiers have left, best fit first, and then opens containers of its own. It is a list of at most a few
-runs a length: so many containers, so many items each. Documents are ranked within their length by a distributed prefix sum
-and pick their run by rank; the table of runs is broadcast (its size is bound by the capacity). Containers of alike tier and
-fill are dealt round to the step groups, so that groups are balanced.
+documents. The plan is best-fit decreasing: length by length, longest first, it fills the smallest gap in which an item has room, and only then
+opens containers. All containers have the one stated capacity, so there are no tiers of container sizes, and packing bands of length apart would keep short items out of the gaps of long ones. The plan is a
+list of at most a few runs a length: so many containers, so many items each. Documents are ranked within their length by a distributed prefix
+sum and pick their run by rank; the table of runs is broadcast (its size is bound by the capacity). Containers of alike longest item (a band
+of lengths, half the capacity and more, a quarter and more, ...) and fill are dealt round to the step groups, so that groups are balanced.
 
 A document longer than the capacity, and only such, is divided into full containers and a rest, which is packed like a document.
 """
