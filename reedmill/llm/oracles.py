@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.script import WORD_OF
+from .wordsalad import BLOCK, KEYWORD_RUN, LINK, LOW, REPEATED_PAIRS, SALAD_SHARE, SCAFFOLD, SMOOTH
 
 _GLYPHS = "map {" + ", ".join(f"'{g}': ' {w} '" for g, w in WORD_OF.items()) + "}"
 
@@ -82,4 +83,35 @@ with w as (
 select distinct item_id, doc_id from g join h using (g)
 """
 
-ORACLES = {"p8_found": P8, "p1_found": P1, "p1_report": P1_REPORT, "p4_found": P4, "p4_collapse": P4_COLLAPSE, "p5_found": P5}
+_LINK = LINK.replace("'", "''")
+
+P9_SCORES = f"""
+with t as (select row_number() over () as page, doc_id, regexp_replace({latin_sql("text")}, '[\U000f1900-\U000f19ff]', ' ', 'g') as t from documents where text is not null),
+w as (
+  select page, doc_id, regexp_extract_all(lower(regexp_replace(regexp_replace(t, '{_LINK}', ' ', 'g'), '<[^<>]*>', ' ', 'g')), '\\p{{L}}+') as w,
+    len(regexp_extract_all(array_to_string(regexp_extract_all(t, '{_LINK}'), ' '), '\\p{{L}}+')) as n_link_words from t
+), p as (select page, doc_id, w, n_link_words, len(w) as n_words,
+    coalesce(list_sum(list_filter(list_transform(string_split(array_to_string(list_transform(w, lambda x: case when x in ({", ".join(f"'{x}'" for x in SCAFFOLD)}) then '|' else 'x' end), ''), '|'),
+      lambda r: len(r)), lambda n: n >= {KEYWORD_RUN})), 0)::int as n_keyword_words
+  from w where len(w) + n_link_words > 0
+), r as (select page, i, (i - 1) // {BLOCK} as block, w[i] as a, w[i + 1] as b from p, unnest(generate_series(1, n_words - 1)) as g(i)),
+c as (select a, b, count(distinct page) as n from r group by all),
+k as (select sum(n) as total from c), f as (select a, sum(n) as na from c group by a), s as (select b, sum(n) as nb from c group by b),
+m as (select a, b, n, ln((n - 1 + {SMOOTH} * total) / (na * nb / total::double + {SMOOTH} * total)) as pmi from c join f using (a) join s using (b), k),
+mean as (select sum(n * pmi) / any_value(total) as mean from m, k),
+bl as (select page, block, count(*) as n, sum(pmi) as s from r join m using (a, b) group by all),
+per as (select page, sum(case when s <= {LOW} * mean * n then n else 0 end) as salad, sum(n) as n_pairs, sum(s) as s from bl, mean group by page),
+d as (select page, count(distinct (a, b)) as nd from r group by page)
+select doc_id, n_words, n_link_words, n_keyword_words, round(s / n_pairs / mean, 6) as coherence,
+  round((coalesce(salad / n_pairs, 0.0) * n_words + n_link_words) / (n_words + n_link_words), 6) as salad_share,
+  round(case when n_words > 8 then 1 - nd / (n_words - 1) else 0.0 end, 6) as repeated_share
+from p left join per using (page) left join d using (page), mean
+"""
+
+P9 = f"""
+select doc_id from ({P9_SCORES}) where (salad_share > {SALAD_SHARE} or repeated_share > {REPEATED_PAIRS}) and 2 * (n_keyword_words + n_link_words) > n_words + n_link_words
+"""
+
+P9_INCOHERENT = f"select doc_id from ({P9_SCORES}) where salad_share > 0.5"
+
+ORACLES = {"p9_found": P9, "p9_incoherent": P9_INCOHERENT, "p9_scores": P9_SCORES, "p8_found": P8, "p1_found": P1, "p1_report": P1_REPORT, "p4_found": P4, "p4_collapse": P4_COLLAPSE, "p5_found": P5}

@@ -145,13 +145,19 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    return wordsalad.salad_scores(table(spark, d, "documents"), "doc_id", "text")
+    scores = wordsalad.salad_scores(table(spark, d, "documents"), "doc_id", "text")
+    return scores.withColumns({c: F.round(c, 6) for c in ("coherence", "salad_share", "repeated_share")})
+
+
+def p9_incoherent(spark: SparkSession, d: str) -> DataFrame:
+    """What the PMI stage alone says, without the exact check: more than half of the words in incoherent blocks or links."""
+    return wordsalad.incoherent(wordsalad.salad_scores(table(spark, d, "documents"), "doc_id", "text"), 0.5, 1.0).select("doc_id")
 
 
 QUERIES = {
     q.__name__: q
     for q in (
         p1_found, p1_report, p2_token_budget, p2_document_tokens, p3_mix, p3_shares, p4_found, p4_collapse, p5_found, p5_assign, p5_shares, p6_found, p7_pack, p7_fill,
-        p8_found, p8_paraphrases, p9_found, p9_scores,
+        p8_found, p8_paraphrases, p9_found, p9_scores, p9_incoherent,
     )
 }

@@ -1,18 +1,18 @@
 """Problem 9: pages of keywords, tags, product rows and links instead of sentences.
 
-Corpus counts: for every pair of neighbouring words the number of documents that hold it (each document once, so that a page can't
+Corpus counts: for every pair of neighbouring words the number of pages that hold it (each page once, so that a page can't
 vouch for its own repetitions), and for every word the number of such pairs it begins and ends. The pointwise mutual information of a
-pair is taken within the table of its two words' classes, else all words of a rarer language would seem to attract each other,
-and is shrunk where little is expected. Pairs of two classes are no evidence of coherence:
+pair is smoothed towards independence by a fixed share of all N counted pairs, so that it means the same at every size of the corpus:
 
-    pmi(a, b) = ln( (n(a,b) + k) / (n(a,B) * n(A,b) / n(A,B) + k) )     A, B: word classes (Toki Pona, other), A = B
+    pmi(a, b) = ln( (n(a,b) - 1 + s N) / (n(a,.) n(.,b) / N + s N) )
 
-Each page is read in blocks of neighbouring words. Running text reaches the mean PMI of its class table; a block below a share of that is
-incoherent. A page is suspect if enough of its words are in incoherent blocks or links, or if it excessively repeats a few
-collocations. An exact check of the suspects follows: a page comes out if more than half of its words are link parts or stand in runs
+Sentences, punctuated or not, are made of pairs that recur all over the corpus (a word and what holds it in its sentence); neighbours in a
+keyword list meet by chance. Each page is read in blocks of neighbouring words, and a block whose mean PMI is below a share of the corpus's mean is
+incoherent. A page is spam if enough of its words are in incoherent blocks or links, or if it excessively repeats a few
+collocations. An exact check of those pages follows: one comes out if more than half of its words are link parts or stand in runs
 without any of the words that hold a sentence together.
 
-Counting is partially aggregated before each shuffle. Scoring joins the pair table: broadcast if a count shows that it is small, and then only
+Texts are parsed once. Counting is partially aggregated before each shuffle. Scoring joins the pair table: broadcast if a count shows that it is small, and then only
 sums of blocks are shuffled; else equal (page, block, pair) rows are added up first and joined by a shuffle that AQE splits at hot pairs.
 """
 
@@ -25,10 +25,10 @@ from ..functions.bind import let, settled
 from ..functions.script import WORDS, glyphs_to_latin
 from ..session import cut_lineage
 
-BLOCK = 10
-SHRINK = 20.0
-LOW = 0.7
-SUSPECT_SHARE, REPEATED_PAIRS = 0.1, 0.4
+BLOCK = 12
+SMOOTH = 3e-4
+LOW = 0.4
+SALAD_SHARE, REPEATED_PAIRS = 0.4, 0.5
 KEYWORD_RUN = 8
 BROADCAST_PAIRS = 1_000_000  # 24 bytes and overhead each
 #: A link with or without scheme.
@@ -53,17 +53,18 @@ def keyword_words(words: Column) -> Column:
     return F.aggregate(runs, F.lit(0), lambda s, n: s + n)
 
 
-def word_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, n_words, n_link_words, n_keyword_words, pairs: array of (a, b)) with words as hashes whose lowest bit is the word class."""
+def read_pages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(page, doc, n_link_words, n_keyword_words, h) of every row with a word or link: ``page`` tells rows apart whatever their id, h holds the words' hashes."""
     words, links = page_words(F.col(text))
-    coded = lambda w: F.shiftleft(F.shiftright(F.xxhash64(w), 2), 1).bitwiseOR(F.when(w.isin(*WORDS), 1).otherwise(0).cast("long"))
-    n = F.size("h")
-    pairs = F.when(n > 1, F.arrays_zip(F.slice("h", 1, n - 1).alias("a"), F.slice("h", 2, n - 1).alias("b")))
-    return settled(
-        docs.select(F.col(doc_id).alias("doc"), words.alias("w"), links.alias("n_link_words"))
-        .select("doc", "n_link_words", keyword_words(F.col("w")).alias("n_keyword_words"), F.transform("w", coded).alias("h"))
-        .select("doc", "n_link_words", "n_keyword_words", n.alias("n_words"), pairs.alias("pairs"))
-    )
+    parsed = settled(docs.select(F.col(doc_id).alias("doc"), words.alias("w"), links.alias("n_link_words"))).where((F.size("w") > 0) | (F.col("n_link_words") > 0))
+    counted = parsed.select("doc", "n_link_words", keyword_words(F.col("w")).alias("n_keyword_words"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    return cut_lineage(counted.withColumn("page", F.monotonically_increasing_id()))
+
+
+def word_pairs(h: Column) -> Column:
+    """Neighbours as an array of (a, b); null for less than two words."""
+    n = F.size(h)
+    return F.when(n > 1, F.arrays_zip(F.slice(h, 1, n - 1).alias("a"), F.slice(h, 2, n - 1).alias("b")))
 
 
 def distinct_pairs(pairs: Column) -> Column:
@@ -71,53 +72,48 @@ def distinct_pairs(pairs: Column) -> Column:
     return let(F.sort_array(pairs), lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))))
 
 
-def pair_pmi(pages: DataFrame, shrink: float = SHRINK) -> tuple[DataFrame, list[float]]:
-    """((a, b, pmi), mean PMI of running text by class of a) over all pages. Pairs that aren't in the table are no evidence, pmi 0: those of two classes, and
-    those of one page only where not even one page is expected, which would make up most of a table of all pairs.
-    """
-    cls = lambda c: F.col(c).bitwiseAND(1)
-    pairs = cut_lineage(pages.select(F.explode(distinct_pairs(F.col("pairs"))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")))
-    own = pairs.where(cls("a") == cls("b"))
-    first, second = own.groupBy("a").agg(F.sum("n").alias("na")), own.groupBy("b").agg(F.sum("n").alias("nb"))
-    whole = own.groupBy(cls("a").alias("c")).agg(F.sum("n").alias("nn"))  # two rows
-    expected = F.col("na") * F.col("nb") / F.col("nn")
-    scored = own.withColumn("c", cls("a")).join(first, "a").join(second, "b").join(F.broadcast(whole), "c").withColumn("expected", expected).where("n > 1 OR expected >= 1")
-    scored = cut_lineage(scored.select("a", "b", "c", "n", F.ln((F.col("n") - 1 + shrink) / (F.col("expected") + shrink)).alias("pmi")))
-    sums = scored.groupBy("c").agg(F.sum(F.col("n") * F.col("pmi")).alias("s")).join(whole, "c").collect()  # two rows
-    norms = {r["c"]: max(0.0, r["s"] / r["nn"]) for r in sums}
-    return scored.select("a", "b", "pmi"), [norms.get(0, 0.0), norms.get(1, 0.0)]
+def pair_pmi(pages: DataFrame, smooth: float = SMOOTH) -> tuple[DataFrame, float]:
+    """((a, b, pmi) of every pair of the corpus, mean PMI over all counted pairs)."""
+    pairs = cut_lineage(pages.select(F.explode(distinct_pairs(word_pairs(F.col("h")))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")))
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    first, second = pairs.groupBy("a").agg(F.sum("n").alias("na")), pairs.groupBy("b").agg(F.sum("n").alias("nb"))
+    k = smooth * total
+    pmi = F.ln((F.col("n") - 1 + k) / (F.col("na") * F.col("nb") / float(max(1, total)) + k))
+    scored = cut_lineage(pairs.join(first, "a").join(second, "b").select("a", "b", "n", pmi.alias("pmi")))
+    mean = scored.agg(F.sum(F.col("n") * F.col("pmi"))).first()[0] or 0.0
+    return scored.select("a", "b", "pmi"), mean / max(1, total)
 
 
 def salad_scores(docs: DataFrame, doc_id: str, text: str, low: float = LOW, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_words, n_link_words, n_keyword_words, coherence, salad_share, repeated_share) of each page with a word.
 
-    coherence: mean PMI of the page over that of running text. Null and blank texts and empty tables give no rows; a document id given twice is two pages only if its texts differ.
+    coherence: mean PMI of the page over that of the corpus, null for a page without neighbours. Null and blank texts and empty tables give no rows; a
+    document id given twice is two pages. Other columns are ignored.
     """
-    pages = word_pairs(docs, doc_id, text)
-    table, norms = pair_pmi(pages)
-    rows = pages.select("doc", F.posexplode("pairs").alias("pos", "p")).select("doc", F.floor(F.col("pos") / block).alias("block"), "p.a", "p.b")
+    pages = read_pages(docs, doc_id, text)
+    table, mean = pair_pmi(pages)
+    rows = pages.select("page", F.posexplode(word_pairs(F.col("h"))).alias("pos", "p")).select("page", F.floor(F.col("pos") / block).alias("block"), "p.a", "p.b")
     if table.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
-        scored = rows.withColumn("n", F.lit(1)).join(F.broadcast(table), ["a", "b"], "left")
+        scored = rows.withColumn("n", F.lit(1)).join(F.broadcast(table), ["a", "b"])
     else:
-        scored = rows.groupBy("doc", "block", "a", "b").agg(F.count("*").alias("n")).join(table, ["a", "b"], "left")
-    norm = F.when(F.col("a").bitwiseAND(1) == 1, norms[1]).otherwise(norms[0])
-    scored = scored.select("doc", "block", "n", F.coalesce("pmi", F.lit(0.0)).alias("pmi"), norm.alias("norm"))
-    blocks = scored.groupBy("doc", "block").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("pmi")).alias("s"), F.sum(F.col("n") * F.col("norm")).alias("t"))
-    per = blocks.groupBy("doc").agg(F.sum(F.when(F.col("s") <= low * F.col("t"), F.col("n")).otherwise(0)).alias("salad"), F.sum("n").alias("n_pairs"), F.sum("s").alias("s"), F.sum("t").alias("t"))
-    repeated = F.when(F.size("pairs") >= 8, 1 - F.size(F.array_distinct(F.transform("pairs", lambda p: F.xxhash64(p["a"], p["b"])))) / F.size("pairs")).otherwise(F.lit(0.0))
-    base = pages.select("doc", "n_words", "n_link_words", "n_keyword_words", F.coalesce(repeated, F.lit(0.0)).alias("repeated_share")).where("n_words + n_link_words > 0")
+        scored = rows.groupBy("page", "block", "a", "b").agg(F.count("*").alias("n")).join(table, ["a", "b"])
+    blocks = scored.groupBy("page", "block").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("pmi")).alias("s"))
+    per = blocks.groupBy("page").agg(F.sum(F.when(F.col("s") <= low * mean * F.col("n"), F.col("n")).otherwise(0)).alias("salad"), F.sum("n").alias("n_pairs"), F.sum("s").alias("s"))
+    hashes = F.transform(word_pairs(F.col("h")), lambda p: F.xxhash64(p["a"], p["b"]))
+    repeated = F.when(F.size("h") > 8, 1 - F.size(F.array_distinct(hashes)) / (F.size("h") - 1)).otherwise(F.lit(0.0))
+    base = pages.select("page", "doc", F.size("h").alias("n_words"), "n_link_words", "n_keyword_words", repeated.alias("repeated_share"))
     all_words = F.col("n_words") + F.col("n_link_words")
-    return base.join(per, "doc", "left").select(
-        F.col("doc").alias(doc_id), "n_words", "n_link_words", "n_keyword_words", F.try_divide("s", "t").alias("coherence"),
+    return base.join(per, "page", "left").select(
+        F.col("doc").alias(doc_id), "n_words", "n_link_words", "n_keyword_words", F.try_divide(F.col("s") / F.col("n_pairs"), F.lit(mean)).alias("coherence"),
         ((F.coalesce(F.col("salad") / F.col("n_pairs"), F.lit(0.0)) * F.col("n_words") + F.col("n_link_words")) / all_words).alias("salad_share"), "repeated_share",
     )
 
 
-def suspects(scores: DataFrame) -> DataFrame:
-    """Pages that are incoherent, mostly links or excessively repetitive."""
-    return scores.where((F.col("salad_share") >= SUSPECT_SHARE) | (F.col("repeated_share") >= REPEATED_PAIRS))
+def incoherent(scores: DataFrame, share: float = SALAD_SHARE, repeated: float = REPEATED_PAIRS) -> DataFrame:
+    """Pages that are mostly word salad or links, or that excessively repeat their collocations."""
+    return scores.where((F.col("salad_share") > share) | (F.col("repeated_share") > repeated))
 
 
 def spam_pages(scores: DataFrame) -> DataFrame:
-    """Suspects that pass the exact check: more than half of the words outside sentences."""
-    return suspects(scores).where(2 * (F.col("n_keyword_words") + F.col("n_link_words")) > F.col("n_words") + F.col("n_link_words"))
+    """Incoherent pages that pass the exact check: more than half of the words outside sentences."""
+    return incoherent(scores).where(2 * (F.col("n_keyword_words") + F.col("n_link_words")) > F.col("n_words") + F.col("n_link_words"))
