@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder of ``spark.checkpoint.dir``; makes an own one only where that is unset (tests, local mode)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(shared)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="reedmill-"))
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, local mode gets a folder of its own, removed at the end; a cluster has none that all workers see, so that is an error."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all workers share")
+            shared = tempfile.mkdtemp(prefix="reedmill-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -46,8 +53,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Broadcast hint if a count proves df to have at most max_rows rows, else df as it is (AQE then picks and splits a shuffle join)."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as a table in the checkpoint folder, one folder for each value of the ``by`` columns, so that a filter on them reads nothing else."""
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), uuid.uuid4().hex)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_bytes(df: DataFrame) -> int:
+    """An upper estimate of a row's bytes without its strings and arrays."""
+    return 16 + 16 * len(df.columns)
+
+
+def small_side(df: DataFrame, max_rows: int = 500_000, max_bytes: int = 256 << 20) -> DataFrame:
+    """Broadcast hint if a count proves df to have at most max_rows rows of at most max_bytes in all, else df as it is (AQE then picks and splits a shuffle join)."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c, t in df.dtypes if t in ("string", "binary")]
+    texts += [F.greatest(F.size(F.col(f"`{c}`")), F.lit(0)).cast("long") * 16 for c, t in df.dtypes if t.startswith("array<") and t[6:] in ("bigint>", "int>", "double>", "float>")]
+    size = sum(texts, F.lit(row_bytes(df)).cast("long"))
+    seen = df.select(size.alias("size")).limit(max_rows + 1).agg(F.count("*"), F.sum("size")).first()
+    return F.broadcast(df) if seen[0] <= max_rows and (seen[1] or 0) <= max_bytes else df
