@@ -6,8 +6,9 @@ slice by slice: a bit is repeated if any partition says so or if two partitions
 exact. A row whose bits aren't all repeated is proven single and never shuffled; only possible repeats are grouped exactly,
 by a 192-bit key, with partial aggregation before the shuffle, so one group may hold a third of all rows.
 
-The merged filter is at most ``3 * max_bits / 8`` bytes (100 MB as set) whatever the input; on more rows than it suits, more singles
-pass it to the exact step, which stays right.
+The filters grow with the table, 8 bits a row and hash function. Beyond ``max_bits`` they are split by the first bits of the hash: rows are then kept in a table by
+that prefix, each prefix is probed with its own filter, and no worker or driver ever holds more than one filter of ``3 * max_bits / 8`` bytes (100 MB as set).
+Every row is made canonical once.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ..session import cut_lineage
+from ..functions.bind import settled
+from ..session import cut_lineage, written
 
 #: Odd multipliers of the three hash functions (any odd 64-bit numbers do).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -58,10 +60,19 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8, offset=1)).astype(np.bool_)
 
 
-def _partition_filters(bits: int):
+def _prefix(hashes: np.ndarray, prefix_bits: int) -> np.ndarray:
+    """The first bits of each hash."""
+    return (hashes.view(np.uint64) >> np.uint64(64 - prefix_bits)).astype(np.int64) if prefix_bits else np.zeros(len(hashes), np.int64)
+
+
+def _partition_filters(bits: int, prefix_bits: int):
+    """Filters of the rows of a partition as slices. Slices are numbered through all prefixes, 4 << (bits - SLICE) a prefix."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(parts: list[np.ndarray]) -> pd.DataFrame:
-            places = np.concatenate(_places(np.concatenate(parts), bits))
+            h = np.concatenate(parts).astype(np.int64)
+            shift = _prefix(h, prefix_bits) << (bits + 2)
+            places = np.concatenate([p + shift for p in _places(h, bits)])
             once, counts = np.unique(places, return_counts=True)
             low, high, again = once & ((1 << SLICE) - 1), once >> SLICE, counts > 1
             cuts = np.flatnonzero(np.diff(high)) + 1
@@ -100,58 +111,76 @@ def _merge_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"slice": [now], "again": [np.packbits(again).tobytes()]})
 
 
-def possible_repeats(rows: DataFrame, hash_col: str, max_bits: int = 1 << 28) -> DataFrame:
-    """The rows whose hash may occur again, all true repeats among them."""
+def _probe(shared, bits: int):
+    @F.pandas_udf(BooleanType())
+    def repeated(h: pd.Series) -> pd.Series:
+        data = shared.value
+        out = np.ones(len(h), np.bool_)
+        for p in _places(h.to_numpy(), bits):
+            out &= (data[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+        return pd.Series(out)
+
+    return repeated
+
+
+def repeat_flags(rows: DataFrame, hash_col: str, max_bits: int = 1 << 28) -> DataFrame:
+    """rows with ``maybe``: whether the hash may occur again; true for all true repeats. rows is read several times, so it should be a checkpoint or a table."""
     n = rows.count()
-    bits = int(np.clip(int(np.ceil(np.log2(max(1, n * 8)))), SLICE, int(np.log2(max_bits))))
+    want = max(SLICE, int(np.ceil(np.log2(max(1, n * 8)))))
+    prefix_bits = max(0, want - int(np.log2(max_bits)))
+    bits = want - prefix_bits
     merged = (
         rows.select(F.col(hash_col).alias("h"))
-        .mapInPandas(_partition_filters(bits), "slice long, once binary, again binary")
+        .mapInPandas(_partition_filters(bits, prefix_bits), "slice long, once binary, again binary")
         .repartition("slice")
         .sortWithinPartitions("slice")
         .mapInPandas(_merge_slices, "slice long, again binary")
     )
-    packed = np.zeros((3 << bits) >> 3, np.uint8)
-    step = (1 << SLICE) >> 3
-    for r in merged.toLocalIterator():  # at most 3 * max_bits / 8 bytes in all
-        packed[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["again"], np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(packed)
+    if prefix_bits:
+        merged = cut_lineage(merged)
+        rows = written(rows.withColumn("prefix", F.shiftrightunsigned(F.col(hash_col), 64 - prefix_bits)), "prefix")
+    step, a_prefix = (1 << SLICE) >> 3, 4 << (bits - SLICE)
+    out = None
+    for k in range(1 << prefix_bits):
+        packed = np.zeros((3 << bits) >> 3, np.uint8)
+        for r in merged.where(F.col("slice").between(k * a_prefix, (k + 1) * a_prefix - 1)).toLocalIterator():  # at most 3 * max_bits / 8 bytes
+            at = (r["slice"] - k * a_prefix) * step
+            packed[at : at + step] = np.frombuffer(r["again"], np.uint8)
+        shared = rows.sparkSession.sparkContext.broadcast(packed)
+        part = rows.where(F.col("prefix") == k).drop("prefix") if prefix_bits else rows
+        part = part.withColumn("maybe", _probe(shared, bits)(F.col(hash_col)))
+        if prefix_bits:  # one filter at a time in the workers' memory
+            part = cut_lineage(part)
+            shared.unpersist()
+        out = part if out is None else out.unionAll(part)
+    return out
 
-    @F.pandas_udf(BooleanType())
-    def repeated(h: pd.Series) -> pd.Series:
-        data = shared.value
-        out = np.ones(len(h), np.bool_)
-        for p in _places(h.to_numpy(), bits):
-            out &= (data[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
-        return pd.Series(out)
 
-    return rows.where(repeated(F.col(hash_col)))
+def possible_repeats(rows: DataFrame, hash_col: str, max_bits: int = 1 << 28) -> DataFrame:
+    """The rows whose hash may occur again, all true repeats among them."""
+    return repeat_flags(rows, hash_col, max_bits).where("maybe").drop("maybe")
 
 
 def keyed(tables: list[tuple[str, DataFrame, str, list[str]]]) -> DataFrame:
     """(tab, id, h, digest) of every row with content. tables: name, rows, id column, compared columns. Rows of two tables are never copies of each other."""
-    parts = [
-        df.select(F.lit(tab).alias("tab"), F.col(row_id).cast("long").alias("id"), F.concat_ws("\u0002", F.lit(tab), canonical(*[F.col(c) for c in cols])).alias("c"), canonical(*[F.col(c) for c in cols]).isNotNull().alias("ok"))
-        for tab, df, row_id, cols in tables
-    ]
+    parts = [settled(df.select(F.lit(tab).alias("tab"), F.col(row_id).cast("long").alias("id"), canonical(*[F.col(c) for c in cols]).alias("c"))) for tab, df, row_id, cols in tables]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.where("ok").select("tab", "id", F.xxhash64("c").alias("h"), F.unhex(F.md5(F.col("c"))).alias("digest"))
+    named = F.concat_ws("\u0002", "tab", "c")
+    return out.where("c IS NOT NULL").select("tab", "id", F.xxhash64(named).alias("h"), F.unhex(F.md5(named)).alias("digest"))
 
 
-def copies(rows: DataFrame) -> DataFrame:
+def copies(rows: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
     """(tab, first_id, copy_id): for every group of copies each member but its smallest id. Null ids are ignored; an id delivered twice is one row."""
-    maybe = cut_lineage(possible_repeats(rows.where(F.col("id").isNotNull()), "h"))
+    maybe = cut_lineage(possible_repeats(cut_lineage(rows.where(F.col("id").isNotNull())), "h", max_bits))
     key = ["tab", "h", "digest"]
     groups = maybe.groupBy(*key).agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     return maybe.join(groups, key).where("id > first_id").select("tab", "first_id", F.col("id").alias("copy_id")).distinct()
 
 
-def collapse(rows: DataFrame) -> DataFrame:
-    """(tab, first_id, n_copies): one row for each distinct record. Singles proven by the filter are passed on without a shuffle."""
-    rows = rows.where(F.col("id").isNotNull())
-    maybe = cut_lineage(possible_repeats(rows, "h"))
-    groups = maybe.groupBy("tab", "h", "digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies")).select("tab", "first_id", "n_copies")
-    singles = rows.join(maybe.select("h").distinct(), "h", "left_anti").select("tab", F.col("id").alias("first_id"), F.lit(1).cast("long").alias("n_copies"))
-    return groups.unionByName(singles)
+def collapse(rows: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
+    """(tab, first_id, n_copies): one row for each distinct record. Singles proven by the filter are passed on without a shuffle or join."""
+    flagged = repeat_flags(cut_lineage(rows.where(F.col("id").isNotNull())), "h", max_bits)
+    groups = flagged.where("maybe").groupBy("tab", "h", "digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies")).select("tab", "first_id", "n_copies")
+    return groups.unionByName(flagged.where("NOT maybe").select("tab", F.col("id").alias("first_id"), F.lit(1).cast("long").alias("n_copies")))

@@ -93,6 +93,21 @@ def test_filter_keeps_every_repeat_when_overfull(spark):
     assert 10_000 <= sparse.count() < 12_000
 
 
+def test_filters_by_prefix_lose_nothing_and_stay_sharp(spark):
+    df = spark.range(160_000).select((F.col("id") % 120_000).alias("x")).select(F.xxhash64("x").alias("h"))
+    maybe = copies.possible_repeats(df, "h", max_bits=1 << 17)  # 16 prefixes
+    assert maybe.groupBy("h").count().where("count > 1").count() == 40_000
+    assert 80_000 <= maybe.count() < 90_000
+    rng = random.Random(15)
+    data = [(i, f"waso {rng.randrange(20_000)}") for i in range(30_000)]
+    keyed = copies.keyed([("t", spark.createDataFrame(data, "rid long, text string"), "rid", ["text"])])
+    groups = defaultdict(list)
+    for i, t in data:
+        groups[t].append(i)
+    assert {f: n for _, f, n in rows(copies.collapse(keyed, 1 << 16))} == {min(g): len(g) for g in groups.values()}
+    assert rows(copies.copies(keyed, 1 << 16)) == sorted(("t", min(g), i) for g in groups.values() for i in g if i != min(g))
+
+
 def test_copies_of_empty_and_long(spark):
     none = spark.createDataFrame([], "rid long, text string")
     assert copies.copies(copies.keyed([("t", none, "rid", ["text"])])).count() == 0
