@@ -129,6 +129,11 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_pack(spark, d), CAPACITY)
 
 
+def p7_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """How each tier of context size is packed and filled."""
+    return packing.tier_report(p7_pack(spark, d), CAPACITY)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), doc_id="doc_id", text="text", item_id="item_id", item_text="text")
     return found.select("item_id", "doc_id")
@@ -157,7 +162,7 @@ def p9_incoherent(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        p1_found, p1_report, p2_token_budget, p2_document_tokens, p3_mix, p3_shares, p4_found, p4_collapse, p5_found, p5_assign, p5_shares, p6_found, p7_pack, p7_fill,
+        p1_found, p1_report, p2_token_budget, p2_document_tokens, p3_mix, p3_shares, p4_found, p4_collapse, p5_found, p5_assign, p5_shares, p6_found, p7_pack, p7_fill, p7_tiers,
         p8_found, p8_paraphrases, p9_found, p9_scores, p9_incoherent,
     )
 }

@@ -54,6 +54,33 @@ def test_plan_places_every_item_once(histogram):
     assert n == plain_best_fit([x for x, c in histogram.items() for _ in range(c)], 50)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20), st.integers(1, 5))
+def test_tiers_place_every_item_once(histogram, tiers):
+    runs, n = packing.plan_tiers(histogram, 64, tiers)
+    used, longest, tier = Counter(), Counter(), {}
+    for length in histogram:
+        spans = sorted((lo, hi) for x, lo, hi, *_ in runs if x == length)
+        assert [lo for lo, _ in spans] == [0, *[hi for _, hi in spans[:-1]]] and spans[-1][1] == histogram[length]
+    for length, lo, hi, k, c0, t in runs:
+        for r in range(lo, hi):
+            c = c0 + (r - lo) // k
+            used[c] += length
+            longest[c] = max(longest[c], length)
+            assert tier.setdefault(c, t) == t
+    assert len(used) == n and max(used.values(), default=0) <= 64
+    assert all(packing.tier_of(longest[c], 64, tiers) == t for c, t in tier.items())
+    items = [x for x, c in histogram.items() for _ in range(c)]
+    assert n <= plain_best_fit(items, 64) * 1.25 + 1
+
+
+def test_tiers_fill_long_windows_from_short_documents():
+    runs, n = packing.plan_tiers({700: 100, 300: 100, 20: 100}, 1024, 4)
+    assert n == 100 and {r[5] for r in runs} == {0}
+    runs, n = packing.plan_tiers({200_000: 3, 100_000: 3}, 300_000)  # any capacity
+    assert n == 3
+
+
 def plain_best_fit(items, capacity):
     """Containers of best-fit decreasing, item by item."""
     gaps = []
