@@ -27,6 +27,27 @@ def test_chunks_keep_counts_of_any_text(text, size):
     assert sum(len(enc.encode_ordinary(p)) for p in tokens.independent_chunks(text, size)) == len(enc.encode_ordinary(text))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("asrtl19 .,'-\n\té世\x1c\x85\xa0\u2028\U000f1934")), max_size=60), st.integers(1, 6))
+def test_chunks_at_class_steps(text, size):
+    enc = tokens.encoder(tokens.TOKENIZER)
+    assert sum(len(enc.encode_ordinary(p)) for p in tokens.independent_chunks(text, size)) == len(enc.encode_ordinary(text))
+
+
+def test_long_pages_of_any_kind_are_cut():
+    enc = tokens.encoder(tokens.TOKENIZER)
+    rng = random.Random(7)
+    glyphs = lambda n: "".join(chr(0xF1900 + rng.randrange(120)) for _ in range(n))
+    pages = [
+        " ".join(glyphs(rng.randrange(1, 9)) for _ in range(8_000)), "\n".join(rng.choice(["mi", "tomo", "waso"]) for _ in range(20_000)), ",".join(str(rng.randrange(10**6)) for _ in range(10_000)),
+        "\n".join(f"http://kala-{rng.randrange(99)}.example/barn?id={rng.randrange(9999)}" for _ in range(3_000)), "* [mi](http://a.example/b) | " * 3_000, "日本 " * 20_000,
+    ]
+    for page in pages:
+        parts = tokens.independent_chunks(page)
+        assert max(map(len, parts)) < tokens.CHUNK + 100 and "".join(parts) == page
+        assert sum(len(enc.encode_ordinary(p)) for p in parts) == len(enc.encode_ordinary(page))
+
+
 def test_document_tokens(spark):
     enc = tokens.encoder(tokens.TOKENIZER)
     data = [(1, "mi tawa"), (2, None), (3, ""), (4, "tomo pona " * 5_000), (5, "x" * 20_000), (6, "<|endoftext|>"), (7, "mi tawa")]
