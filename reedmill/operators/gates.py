@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import most_common
 from ..functions.bind import let
 from ..functions.phonology import is_legal_word
 from ..functions.script import WORDS
@@ -59,15 +60,9 @@ def letter_ratio(text: Column, letters: str = LETTERS) -> Column:
     return F.when(every == 0, F.lit(0.0)).otherwise((every - own) / every)
 
 
-def most_common(items: Column) -> Column:
-    """How often the most frequent item of an array occurs."""
-    return let(items, lambda a: F.coalesce(F.array_max(F.transform(F.array_distinct(a), lambda x: F.size(F.filter(a, lambda y: y == x)))), F.lit(0)))
-
-
 def bigrams(words: Column) -> Column:
     """Neighbouring words as 'a b'."""
 
-
     def pairs(w: Column) -> Column:
         rest = F.greatest(F.size(w) - 1, F.lit(0))
         return F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
@@ -77,15 +72,19 @@ def bigrams(words: Column) -> Column:
 
 def sentence_reason(sentence: Column, p: Profile = STRICT) -> Column:
     """The reason of the first failing rule of a sentence gate. For the relaxed profile, a sentence without words gives 'skip'."""
-    return let(F.struct(sentence.alias("s"), ascii_words(sentence).alias("w"), ascii_words(F.lower(sentence)).alias("low")), lambda b: _reason(b["s"], b["w"], b["low"], p))
+    bound = F.struct(sentence.alias("s"), ascii_words(sentence).alias("w"), ascii_words(F.lower(sentence)).alias("low"))
+    return let(bound, lambda b: let(_first_bad(b["w"], p), lambda bad: _reason(b["s"], b["w"], b["low"], bad, p)))
 
 
-def _reason(sentence: Column, words: Column, low: Column, p: Profile) -> Column:
-    n, text = F.size(words), F.lower(sentence)
+def _first_bad(words: Column, p: Profile) -> Column:
+    """The reason of the first word that can't stand, null if all can."""
     known = [*p.vocabulary, *p.extra]
     bad_word = lambda w: F.when(w.rlike("^[A-Z]"), F.when(~is_legal_word(w), "illegal_name") if p.name_shapes else F.lit(None).cast("string")).when(~F.lower(w).isin(known), "unknown_word")
-    first_bad = F.try_element_at(F.filter(F.transform(words, bad_word), lambda r: r.isNotNull()), F.lit(1))
-    bad = F.exists(words, lambda w: bad_word(w).isNotNull())
+    return F.try_element_at(F.filter(F.transform(words, bad_word), lambda r: r.isNotNull()), F.lit(1))
+
+
+def _reason(sentence: Column, words: Column, low: Column, bad: Column, p: Profile) -> Column:
+    n, text = F.size(words), F.lower(sentence)
     m, e = p.predicate, p.object_mark
     reason = F.when(n == 0, F.lit(p.blank))
     if p.shortest is not None:
@@ -93,7 +92,7 @@ def _reason(sentence: Column, words: Column, low: Column, p: Profile) -> Column:
     if p.longest is not None:
         reason = reason.when(n > p.longest, "too_long")
     reason = (
-        reason.when(bad, first_bad)
+        reason.when(bad.isNotNull(), bad)
         .when(text.rlike(rf"(?U)\b{m}\s+{m}\b"), "double_li")
         .when(text.rlike(rf"(?U)\b{m}\s+{e}\b"), "li_e_error")
         .when(text.rlike(rf"(?U)\A\s*{m}\b"), "leading_li")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import numbered
 from ..functions.bind import let
 
 
@@ -31,11 +32,6 @@ def char_ngrams(text: Column, n: Column) -> Column:
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substr(text, i, n))).otherwise(F.array().cast("array<string>"))
 
 
-def numbered(items: Column) -> Column:
-    """Equal items made distinct by their number, so that set operations act on multisets."""
-    return let(F.array_sort(items), lambda s: F.transform(s, lambda x, i: F.concat_ws("\u0001", x, (i - F.array_position(s, x)).cast("string"))))
-
-
 def chrf(hyp: Column, ref: Column, orders: int = 6, beta: float = 2.0) -> Column:
     """Character n-gram F-score times 100: precision and recall averaged over the orders that both sides have; 0 if a side is empty."""
 
@@ -59,3 +55,13 @@ def chrf(hyp: Column, ref: Column, orders: int = 6, beta: float = 2.0) -> Column
 def share(part: Column, whole: Column) -> Column:
     """part / max(whole, 1)."""
     return part / F.greatest(whole, F.lit(1))
+
+
+def weighted_mean(value: Column, weight: Column) -> Column:
+    """Sum of value x weight over the sum of weights; null without weight. Null values and weights count nothing."""
+    both = value.isNotNull() & weight.isNotNull()
+    return F.try_divide(F.sum(F.when(both, value * weight)), F.sum(F.when(both, weight)).cast("double"))
+
+
+def perplexity(mean_loss: Column) -> Column:
+    return F.exp(mean_loss)

@@ -131,8 +131,8 @@ _CHRF = """
 with p as (select pair_id, en, coalesce(tp, '') as h, r from (
   select a.pair_id, a.en, a.tp, b.r from translation_pairs a join (select eng_id, arg_min(tp, pair_id) as r from translation_pairs where tp is not null group by eng_id) b using (eng_id)
   where a.split = 'val' and a.tp is not null)),
-g as (select pair_id, n, 'h' as side, h[i:i + n - 1] as x from p, range(1, 7) t(n), range(1, 400) u(i) where i <= length(h) - n + 1
-      union all select pair_id, n, 'r', r[i:i + n - 1] from p, range(1, 7) t(n), range(1, 400) u(i) where i <= length(r) - n + 1),
+g as (select pair_id, n, 'h' as side, h[i:i + n - 1] as x from p, range(1, 7) t(n), unnest(range(1, length(h) + 1)) u(i) where i <= length(h) - n + 1
+      union all select pair_id, n, 'r', r[i:i + n - 1] from p, range(1, 7) t(n), unnest(range(1, length(r) + 1)) u(i) where i <= length(r) - n + 1),
 c as (select pair_id, n, x, count(*) filter (side = 'h') as ch, count(*) filter (side = 'r') as cr from g group by all),
 o as (select pair_id, n, sum(least(ch, cr)) * 1.0 / nullif(sum(ch), 0) as pr, sum(least(ch, cr)) * 1.0 / nullif(sum(cr), 0) as rc from c group by all having sum(ch) > 0 and sum(cr) > 0),
 a as (select pair_id, avg(pr) as pr, avg(rc) as rc from o group by pair_id),
