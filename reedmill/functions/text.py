@@ -41,6 +41,7 @@ WIKI_STEPS = [
     (r"</?[a-zA-Z][^>]*>", ""),
     (r"\n{3,}", "\n\n"),
 ]
+# A tag and the end of a sentence.
 HTML_TAG = r"</?[a-zA-Z][^>]*>"
 SENTENCE_END = r"(?U)(?<=[.!?])\s+|\n+"
 TEMPLATE_DEPTH = 8

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 DEFAULT_SECONDS = 4.0
 
 #: Schema of a control message: one of four kinds, told by its tag.
 CONTROL_SCHEMA = "type STRING, tuning MAP<STRING,DOUBLE>, style STRING, text STRING, secs FLOAT, force STRING"
-STYLES = ("classic", "round", "ink")
+#: Names of the built-in styles; case doesn't matter.
+STYLES = ("sona", "walo", "laso", "jelo", "loje", "suwi", "musi", "lipu", "sitelen", "sewi")
 
 
 def parse_bubble(line: Column) -> tuple[Column, Column]:
     """(text, seconds) of a line ``text<TAB>seconds``; a missing or bad number is 4.0; blank text is null."""
     parts = F.split(line, "\t", 2)
-    said = F.nullif(F.trim(parts[0]), F.lit(""))
+    said = F.nullif(strip(parts[0]), F.lit(""))
     secs = F.coalesce(F.try_element_at(parts, F.lit(2)).try_cast("float"), F.lit(DEFAULT_SECONDS).cast("float"))
     return said, secs
 
@@ -25,8 +28,8 @@ def parse_control(line: Column) -> Column:
     msg = F.from_json(line, CONTROL_SCHEMA)
     ok = (
         ((msg["type"] == "SetTuning") & msg["tuning"].isNotNull())
-        | ((msg["type"] == "SetStyle") & msg["style"].isin(*STYLES))
-        | ((msg["type"] == "Bubble") & (F.trim(F.coalesce(msg["text"], F.lit(""))) != ""))
+        | ((msg["type"] == "SetStyle") & F.lower(msg["style"]).isin(*STYLES))
+        | ((msg["type"] == "Bubble") & (strip(F.coalesce(msg["text"], F.lit(""))) != ""))
         | ((msg["type"] == "Force") & msg["force"].isNotNull())
     )
     return F.when(ok, msg)
@@ -86,3 +89,8 @@ def union_rect(a: list[Column], b: list[Column], width: Column, height: Column)
     zero = F.lit(0)
     lo = [F.greatest(F.least(p, q), zero) for p, q in zip(a[:2], b[:2], strict=True)]
     return [*lo, F.least(F.greatest(a[2], b[2]), width), F.least(F.greatest(a[3], b[3]), height)]
+
+
+def paced_scene(tick: Column, draw: Column, scenes: list[str]) -> Column:
+    """The scene of a tick of a paced feed: none at even ticks, else one drawn by a non-negative whole number."""
+    return F.when((tick % 2 == 0) | F.lit(not scenes), F.lit("")).otherwise(F.get(F.array(*[F.lit(s) for s in scenes or [""]]), F.pmod(draw, F.lit(max(1, len(scenes)))).cast("int")))
