@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import cut_lineage
 
 CORPUS_SCHEMA = "source STRING, id STRING, text STRING"
 PAIRS_SCHEMA = "en STRING, tp STRING, eng_id STRING, tok_id STRING, source STRING"
@@ -19,9 +21,17 @@ WIKI_SCHEMA = "title STRING, ns BIGINT, redirect STRING, revision STRUCT<text: S
 
 
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, value) of text files, in file order within each file. Line numbers need per-partition counting, for which DataFrames have no operator."""
-    lines = spark.read.text(path)
-    return lines.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0])).toDF("ord BIGINT, value STRING")
+    """(ord, line, file, value) of text files: the place among all lines, files by name, and the line number in the file, both from 0.
+
+    Lines are numbered within their block of the file as they are read; blocks are counted, one row each, and added up.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    blocks = lines.groupBy("file", "_b").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = blocks.select("file", "_b", "_first", before(Window.orderBy("file", "_b")).alias("_all"), before(Window.partitionBy("file").orderBy("_b")).alias("_own"))
+    joined = lines.join(F.broadcast(place), ["file", "_b"])  # a row a file block
+    inside = F.col("_i") - F.col("_first")
+    return joined.select((F.col("_all") + inside).alias("ord"), (F.col("_own") + inside).alias("line"), "file", "value")
 
 
 def language_tsv(spark: SparkSession, path: str, lang: str | None = "tok") -> DataFrame:
@@ -61,10 +71,10 @@ def markdown_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str, name: str, first_column: bool = False) -> DataFrame:
-    """(id, text) of non-blank lines, or of their first column; id is ``name:line`` from 0, skipped lines counted."""
+    """(id, text) of non-blank lines, or of their first column; id is ``name:line``, the line number in its file from 0, skipped lines counted."""
     line = F.split("value", "\t")[0] if first_column else F.col("value")
-    rows = ordered_lines(spark, path).select("ord", text.strip(line).alias("text")).where("text <> ''")
-    return rows.select(F.concat(F.lit(name + ":"), "ord").alias("id"), "text")
+    rows = ordered_lines(spark, path).select("line", text.strip(line).alias("text")).where("text <> ''")
+    return rows.select(F.concat(F.lit(name + ":"), F.col("line").cast("string")).alias("id"), "text")
 
 
 def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -98,20 +108,34 @@ def line_list(spark: SparkSession, path: str, limit: int | None = None) -> DataF
     return rows.orderBy("ord").limit(limit) if limit is not None else rows
 
 
+def split_jsonl(spark: SparkSession, paths: dict[str, str], schema: str = CHAT_SCHEMA) -> DataFrame:
+    """JSON lines of several splits with their ``split``."""
+    parts = [jsonl(spark, path, schema).withColumn("split", F.lit(name)) for name, path in paths.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @dataclass(frozen=True)
 class Source:
-    """A named corpus and its loader: load(spark) -> (id, text)."""
+    """A named corpus and its loader: load(spark) -> (id, text). fetch brings the raw files to ``raw`` (a local or mounted path), where they aren't there yet."""
 
     name: str
     load: Callable[[SparkSession], DataFrame]
+    fetch: Callable[[], None] | None = None
+    raw: str = ""
+
 
+def load_corpus(spark: SparkSession, sources: list[Source], chosen: list[str] | None = None, *, force: bool = False, skip_fetch: bool = False) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(source, id, text) of the chosen sources and the list of (source, error) of those that failed; unknown names fail too.
 
-def load_corpus(spark: SparkSession, sources: list[Source], chosen: list[str] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """(source, id, text) of the chosen sources and the list of (source, error) of those that failed; unknown names fail too. A source that fails doesn't stop the others."""
+    Each source is read into the checkpoint folder by itself, so that one that fails, even by a corrupt file, doesn't stop the others. force fetches again what is there, skip_fetch nothing.
+    """
     known, parts, failed = {s.name: s for s in sources}, [], []
     for name in chosen if chosen is not None else list(known):
         try:
-            parts.append(known[name].load(spark).select(F.lit(name).alias("source"), F.col("id").cast("string").alias("id"), "text"))
+            source = known[name]
+            if source.fetch and not skip_fetch and (force or not os.path.exists(source.raw)):
+                source.fetch()
+            parts.append(cut_lineage(source.load(spark).select(F.lit(name).alias("source"), F.col("id").cast("string").alias("id"), "text")))
         except Exception as e:  # noqa: BLE001  (any loader error is reported, not raised)
             failed.append((name, f"{type(e).__name__}: {str(e)[:200]}"))
     out = spark.createDataFrame([], CORPUS_SCHEMA)

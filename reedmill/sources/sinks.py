@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One object a line, characters unescaped, null fields left out."""
-    df.write.mode(mode).json(path)
+    """One object a line, characters unescaped, null fields as null."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def write_lines(df: DataFrame, column: str, path: str, mode: str = "overwrite") -> None:
@@ -18,7 +18,7 @@ def write_lines(df: DataFrame, column: str, path: str, mode: str = "overwrite")
 
 def summary(df: DataFrame, name: str = "summary") -> DataFrame:
     """One JSON string a row."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias(name))
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))
 
 
 def markdown_rows(df: DataFrame) -> DataFrame:
