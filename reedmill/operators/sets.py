@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order
+from ..session import cut_lineage, small_side
 
 
 def first_seen(df: DataFrame, key: Sequence[Column], order: Sequence[Column]) -> DataFrame:
@@ -35,13 +36,14 @@ def distributed_rank(df: DataFrame, hex_key: str, name: str = "rank", ties: Sequ
     return bucketed.join(F.broadcast(before), "_b").withColumn(name, F.col("_before") + within).drop("_b", "_before")
 
 
-def running_total(df: DataFrame, order: str, amount: Column, name: str, width: int = 10_000) -> DataFrame:
-    """df with the total of ``amount`` up to each row, by a whole-number order: totals of ranges of the order first, then within each range."""
-    ranged = df.withColumn("_a", amount).withColumn("_r", F.expr(f"{order} div {width}"))
-    totals = ranged.groupBy("_r").agg(F.sum("_a").alias("_t"))
+def running_total(df: DataFrame, order: str, amount: Column, name: str, width: int = 500_000) -> DataFrame:
+    """df with the total of ``amount`` up to each row by ``order``: totals of sampled ranges of about ``width`` rows, whatever the values, first, then within each range."""
+    n = df.count() // width + 1
+    ranged = cut_lineage(df.withColumn("_a", amount).repartitionByRange(n, order).withColumn("_r", F.spark_partition_id()))
+    totals = ranged.groupBy("_r").agg(F.sum("_a").alias("_t"))  # a row a range
     before = totals.select("_r", F.coalesce(F.sum("_t").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     within = F.sum("_a").over(Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.join(before, "_r").withColumn(name, F.col("_before") + within).drop("_a", "_r", "_before")
+    return ranged.join(F.broadcast(before), "_r").withColumn(name, F.col("_before") + within).drop("_a", "_r", "_before")
 
 
 def without_known(df: DataFrame, known: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -52,7 +54,7 @@ def without_known(df: DataFrame, known: DataFrame, on: Sequence[str]) -> DataFra
 def first_n(df: DataFrame, order: Sequence[str], n: int, key: str, name: str = "held_out") -> DataFrame:
     """df with a flag on its first n rows: top-n selection, n is the feature's bound."""
     top = df.orderBy(*order).limit(n).select(F.col(key).alias("_k"), F.lit(True).alias(name))
-    return df.join(F.broadcast(top), F.col(key) == F.col("_k"), "left").drop("_k").withColumn(name, F.coalesce(name, F.lit(False)))
+    return df.join(small_side(top), F.col(key) == F.col("_k"), "left").drop("_k").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def group_split(df: DataFrame, group: str, share: float, seed: int) -> DataFrame:
@@ -87,12 +89,37 @@ def hub_members(df: DataFrame, hub: str, member: Column) -> DataFrame:
     return members.join(sizes, "hub").select("hub", "member", (F.col("n") - 1).alias("n_partners"))
 
 
-def hub_pairs(df: DataFrame, hub: str, member: str) -> DataFrame:
-    """Ordered pairs (a, b) of different members of a hub. For members from a small domain; hub_members has the linear form for any."""
+def hub_pairs(df: DataFrame, hub: str, member: str, most: int = 100) -> DataFrame:
+    """Ordered pairs (a, b) of different members of a hub. For members from a small domain: a hub of more than ``most`` members is an error; hub_members has the linear form for any."""
     m = df.select(F.col(hub).alias("hub"), F.trim(F.col(member)).alias("a")).where(F.col("hub").isNotNull() & F.col("a").isNotNull()).distinct()
+    if not m.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > most).isEmpty():
+        raise ValueError(f"a hub has more than {most} members; use hub_members")
     return m.join(m.withColumnRenamed("a", "b"), "hub").where("a <> b")
 
 
+def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of a that are in b too; nulls are equal."""
+    return a.intersect(b)
+
+
+def only_first(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of a that aren't in b; nulls are equal."""
+    return a.subtract(b)
+
+
+def chosen_union(parts: Mapping[str, DataFrame], skip: Collection[str] = (), name: str = "part") -> DataFrame:
+    """Union of the parts that aren't skipped, in order, each row with its part's name; a skipped part is never read. All skipped gives an empty relation of the first part's columns."""
+    unknown = set(skip) - set(parts)
+    if unknown or not parts:
+        raise ValueError(f"no such part: {sorted(unknown)}")
+    out = None
+    for key, df in parts.items():
+        if key not in skip:
+            named = df.withColumn(name, F.lit(key))
+            out = named if out is None else out.unionByName(named)
+    return out if out is not None else next(iter(parts.values())).limit(0).withColumn(name, F.lit(""))
+
+
 def status_join(links: DataFrame, left: DataFrame, right: DataFrame, *, left_key: str, right_key: str, reason, key: Sequence[str], order: str) -> DataFrame:  # noqa: ANN001
     """Links with both sides' columns and ``status``: tok_missing, eng_missing, the gate's reason, duplicate or keep, the first that holds.
 

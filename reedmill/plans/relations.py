@@ -154,15 +154,14 @@ def inject_after_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with p as (
-  select 'bird' as part, count(*) * 3 as n from bird union all select 'synthetic', count(*) from synthetic union all select 'translation_pairs', count(*) * 2 from translation_pairs
-) select part, n from p
+select 'bird' as part, bird_id as id, copy from bird, range(1, 4) t(copy) union all select 'synthetic', syn_id, 1 from synthetic
+union all select 'translation_pairs', pair_id, copy from translation_pairs, range(1, 3) t(copy)
 """)
 def weighted_mix(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of a union in which the parts stand three times, once and twice."""
+    """Rows of a union in which the parts stand three times, once and twice, with copy numbers."""
     part = lambda name, key: table(spark, d, name).select(F.lit(name).alias("part"), F.col(key).alias("id"))
     mixed = sets.weighted_union([(part("bird", "bird_id"), 3), (part("synthetic", "syn_id"), 1), (part("translation_pairs", "pair_id"), 2)])
-    return mixed.groupBy("part").agg(F.count("*").alias("n"))
+    return mixed.select("part", "id", F.col("copy").cast("long").alias("copy"))
 
 
 @query(f"select min(syn_id) as syn_id, sha256({q.squeeze('lower(text)')}) as key from synthetic where text is not null group by 2")
@@ -237,29 +236,25 @@ def hash_shuffle_cap(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.hash_order(SEED, F.col("doc_id")).alias("h")).orderBy("h", "doc_id").limit(250).select("doc_id")
 
 
-@query("""
-with u as (select unnest([l_orderkey, l_partkey, l_suppkey]) as v from lineitem where l_quantity > 45 union all select p_partkey from part)
+_KEEPSET = """
+with u as (select unnest([l_orderkey, l_partkey, l_suppkey]) as v from lineitem union all select p_partkey from part)
 select v as old_id, row_number() over (order by v) - 1 as new_id from (select distinct v from u)
-""")
-def vocab_keepset(spark: SparkSession, d: str) -> DataFrame:
-    """Ids of the parts and of the large lines (the SQL's filter), renumbered densely from 0. Ids in use anywhere: vocab_keepset_all."""
-    return _renumbered(spark, d, table(spark, d, "lineitem").where("l_quantity > 45"))
+"""
 
 
-def _renumbered(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
-    used = lines.select(F.explode(F.array("l_orderkey", "l_partkey", "l_suppkey")).alias("v"))
+@query(_KEEPSET)
+def vocab_keepset(spark: SparkSession, d: str) -> DataFrame:
+    """Ids in use anywhere, renumbered densely from 0."""
+    used = table(spark, d, "lineitem").select(F.explode(F.array("l_orderkey", "l_partkey", "l_suppkey")).alias("v"))
     ids = used.unionAll(table(spark, d, "part").select(F.col("p_partkey").alias("v"))).distinct()
     ranked = sets.running_total(ids, "v", F.lit(1).cast("long"), "k")
     return ranked.select(F.col("v").alias("old_id"), (F.col("k") - 1).alias("new_id"))
 
 
-@query("""
-with u as (select unnest([l_orderkey, l_partkey, l_suppkey]) as v from lineitem union all select p_partkey from part)
-select v as old_id, row_number() over (order by v) - 1 as new_id from (select distinct v from u)
-""")
+@query(_KEEPSET)
 def vocab_keepset_all(spark: SparkSession, d: str) -> DataFrame:
-    """Ids in use anywhere, of all lines, renumbered densely from 0."""
-    return _renumbered(spark, d, table(spark, d, "lineitem"))
+    """The same under its older name, from when vocab_keepset left out small lines."""
+    return vocab_keepset(spark, d)
 
 
 @query("""
