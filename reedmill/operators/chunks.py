@@ -82,3 +82,14 @@ def warmup_cosine(step: Column, peak: float, warmup: int, steps: int) -> Column:
     """Learning rate: linear warm-up, then a cosine to a tenth."""
     progress = (step - warmup) / max(1, steps - warmup)
     return F.when(step < warmup, peak * (step + 1) / warmup).when(step >= steps, F.lit(0.1 * peak)).otherwise(0.1 * peak + 0.9 * peak * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * progress)))
+
+
+def mask_audit(labels: Column, reply_tokens: Column, slack: int = 2, ignore: int = -100) -> Column:
+    """Whether the places to be learnt are as many as the reply's tokens, give or take ``slack``, some but not all."""
+    learnt = F.size(F.filter(labels, lambda x: x != ignore))
+    return (F.abs(learnt - reply_tokens) <= slack) & (learnt > 0) & (learnt < F.size(labels))
+
+
+def random_window(n: Column, block: int, draw: Column) -> Column:
+    """Start of a window of ``block`` targets in n tokens, drawn by a non-negative whole number; null if there is no room."""
+    return F.when(n > block, F.pmod(draw, F.greatest(n - block, F.lit(1))))

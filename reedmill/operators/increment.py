@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_line, copy_key, strip
-from .gates import response_reason
+from .gates import bubble_reason, response_reason
 from .sets import first_seen, without_known
 
 
@@ -55,3 +56,26 @@ def increment(seeds: DataFrame, key: str, generate: Callable[[str], str], ledger
     fresh = first_seen(good, [F.col("k")], [F.col(key), F.col("text")]).drop("k")
     done = replies.where("error IS NULL").select(key).distinct()
     return fresh, done, verdicts.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def persona_lines(requests: DataFrame, ask: Callable[[str], str], partitions: int | None = None) -> DataFrame:
+    """(ctx, mood, text, reason) of each line that an injected model gives for requests (ctx, mood, prompt); ctx is empty for ambient batches.
+
+    Lines lose bullets and numbers, blank ones are dropped; a failing call gives one row with reason ``call_error``.
+    """
+    keyed = requests.select(F.to_json(F.struct("ctx", "mood", "prompt"), {"ignoreNullFields": "false"}).alias("request"))
+    replies = generated(keyed, "request", lambda r: ask(json.loads(r)["prompt"]), partitions)
+    lines = replies.select(F.from_json("request", "ctx STRING, mood STRING").alias("r"), "error", F.explode_outer(F.split("reply", "\\R")).alias("line"))
+    said = lines.select("r.ctx", "r.mood", "error", strip(clean_line(F.col("line"))).alias("text")).where("error IS NOT NULL OR text <> ''")
+    copied = (F.coalesce("ctx", F.lit("")) != "") & (strip(F.lower("text")) == strip(F.lower("ctx")))
+    reason = F.when(F.col("error").isNotNull(), "call_error").when(copied, "reply_copies_scene").otherwise(bubble_reason(F.col("text")))
+    return said.select("ctx", "mood", "text", reason.alias("reason"))
+
+
+def until_stale(step: Callable[[int], int], patience: int = 3, most: int | None = None) -> int:
+    """Runs step(round) -> number of new rows until ``patience`` rounds in a row give none (or after ``most`` rounds); the number of rounds run."""
+    done = stale = 0
+    while stale < patience and (most is None or done < most):
+        stale = 0 if step(done) > 0 else stale + 1
+        done += 1
+    return done

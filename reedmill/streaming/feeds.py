@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.feeds import parse_bubble, parse_control
+from ..operators.feeds import paced_scene, parse_bubble, parse_control
 
 
 def line_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -84,3 +87,64 @@ def append_once(output: str, key: list[str]) -> Callable[[DataFrame, int], None]
         new.write.mode("append").parquet(output)
 
     return each
+
+
+def append_with_ledger(output: str, ledger: str, key: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer for (key, text): rows with a text go to the output, every key to the ledger after them, also one that yields nothing.
+
+    Both are kept by batch number, so a batch that is run again after a failure replaces what it wrote before.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        for rows, path in ((batch.where("text IS NOT NULL"), output), (batch.select(key).distinct(), ledger)):
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return each
+
+
+def paced_feed(spark: SparkSession, scenes: list[str], interval_s: int = 1) -> DataFrame:
+    """(tick, at, scene): a row every interval, without a scene and with a drawn one by turns."""
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 1).load().where(F.col("value") % interval_s == 0)
+    tick = F.expr(f"value div {interval_s}")
+    return rate.select(tick.alias("tick"), F.col("timestamp").alias("at"), paced_scene(tick, F.abs(F.xxhash64(tick) % 1_000_000), scenes).alias("scene"))
+
+
+def feed_lines(rows: DataFrame, text: str, seconds: float) -> DataFrame:
+    """Lines ``text<TAB>seconds`` as a consumer reads them; null and blank texts give none."""
+    return rows.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select(F.concat(F.col(text), F.lit(f"\t{seconds:g}")).alias("value"))
+
+
+class Tracker(Protocol):
+    """A source of rows: poll(after) gives the rows after an offset and the new offset; it must give the same rows again for the same offsets."""
+
+    def poll(self, after: int, until: int | None = None) -> tuple[list[tuple], int]: ...
+
+
+def tracked(spark: SparkSession, tracker: Tracker, schema: str) -> DataFrame:
+    """The rows of a tracker as a stream."""
+    name = "tracker_" + uuid.uuid4().hex
+
+    class Reader(SimpleDataSourceStreamReader):
+        def initialOffset(self) -> dict:  # noqa: N802
+            return {"at": 0}
+
+        def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+            rows, at = tracker.poll(start["at"])
+            return iter(rows), {"at": at}
+
+        def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+            return iter(tracker.poll(start["at"], end["at"])[0])
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def simpleStreamReader(self, schema: object) -> SimpleDataSourceStreamReader:  # noqa: N802, ARG002
+            return Reader()
+
+    spark.dataSource.register(Source)
+    return spark.readStream.format(name).load()
