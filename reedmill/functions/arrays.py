@@ -1,4 +1,4 @@
-"""Arrays as multisets: run lengths of the sorted items instead of comparing all with all."""
+"""Arrays as multisets: short ones by direct comparison, all others by run lengths of the sorted items instead of comparing all with all."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .bind import let
 
 
+SHORT = 48
+
+
 def run_starts(s: Column) -> Column:
     """Places (from 0) at which a new value begins in a sorted array."""
     places = F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)))
@@ -20,7 +23,14 @@ def run_lengths(s: Column, starts: Column) -> Column:
 
 def most_common(items: Column) -> Column:
     """How often the most frequent item of an array occurs; 0 for none."""
-    return let(F.array_sort(items), lambda s: let(run_starts(s), lambda t: F.coalesce(F.array_max(run_lengths(s, t)), F.lit(0))))
+    direct = lambda a: F.array_max(F.transform(F.array_distinct(a), lambda x: F.size(F.filter(a, lambda y: y == x))))
+    by_runs = lambda a: let(F.array_sort(a), lambda s: F.array_max(run_lengths_of(s)))
+    return let(items, lambda a: F.coalesce(F.when(F.size(a) <= SHORT, direct(a)).otherwise(by_runs(a)), F.lit(0)))
+
+
+def run_lengths_of(s: Column) -> Column:
+    """Lengths of the runs of equal values in a sorted array."""
+    return let(run_starts(s), lambda t: run_lengths(s, t))
 
 
 def numbered(items: Column) -> Column:
@@ -30,4 +40,5 @@ def numbered(items: Column) -> Column:
         number = lambda x, n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat_ws("\u0001", F.get(s, x), k.cast("string")))
         return F.flatten(F.transform(t, lambda x, i: number(x, F.coalesce(F.get(t, i + 1), F.size(s)) - x)))
 
-    return let(F.array_sort(items), lambda s: let(run_starts(s), lambda t: each(s, t)))
+    direct = lambda s: F.transform(s, lambda x, i: F.concat_ws("\u0001", x, (i + 1 - F.array_position(s, x)).cast("string")))
+    return let(F.array_sort(items), lambda s: F.when(F.size(s) <= SHORT, direct(s)).otherwise(let(run_starts(s), lambda t: each(s, t))))
