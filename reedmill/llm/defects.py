@@ -4,13 +4,17 @@ A multi-label linear classifier (one logistic model a defect) on hashed word n-g
 of each side stands in the other, the share of words of the wanted language, how the answer ends. It is trained on a bounded sample of
 rows (SAMPLE_ROWS a table, the rows of smallest hash) whose answers are taken as sound, and on synthetic defects made from them: emptied, refused,
 copied, cut off and swapped into another language. Sample rows that look defective to a model trained on the other half are dropped
-first, and the threshold of each defect is set on held-out rows. Every row of the table is then scored; word counts behind the features
-cover all rows. Where a defect is exactly defined (empty, copied) an exact check of the classifier's finds follows.
+first; their share is the estimate of how frequent the defect is. The threshold of each defect is the one of best F1 on held-out rows, weighted so that defects are as
+frequent as that, without sound rows that look defective even so. Where a defect is exactly defined (empty, copied) the threshold is the one that finds all but HELD_OUT_LOSS of the held-out defects, as an exact check of the finds follows.
+
+All tables' classifiers are trained at once, each in a task of its own, and kept in the checkpoint folder. Every row of the tables is then scored; word counts behind
+the features cover all rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -23,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.script import WORD_OF, WORDS
+from ..session import cut_lineage
 
 DEFECTS = ("empty", "refusal", "copied", "truncated", "other_language")
 #: Groups of features, and the groups by which each defect may be told, so that words of rows wrongly taken as sound can't excuse them.
@@ -31,11 +36,15 @@ TOLD_BY = ((PAIR,), (PAIR, WORDING, LANGUAGE, ENDING), (PAIR,), (PAIR, WORDING,
 SAMPLE_ROWS = 12_000
 MEMO_WORDS = 200_000
 CHECKED = ("empty", "copied")
+HELD_OUT_LOSS, UNSURE = 0.001, 0.5
 BITS = 18
 CLEANING_ROUNDS = 2
+SOUND_SHARE = 0.2
 RAREST = 4
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*")
 EDGE = regex.compile(r"^[\s\p{Cf}]+|[\s\p{Cf}]+$")
+DOTS = regex.compile(r"\s*(?:\.\s?){2,}")
+CLOSING = regex.compile(r"[\"'”»)\]*_’]+$")
 TOKI = frozenset(WORDS)
 GLYPH_TABLE = {ord(g): f" {w} " for g, w in WORD_OF.items()}
 #: What stands for nothing (compared without case and punctuation).
@@ -92,30 +101,31 @@ def is_nothing(answer: str | None) -> bool:
     return " ".join(words_of(answer or "")) in NOTHING
 
 
-def is_copy(question: str | None, answer: str | None) -> bool:
-    """The answer is the question once or more, perhaps behind a label with a colon."""
-    q, a = words_of(question or ""), words_of(answer or "")
+def repeats_question(q: list[str], a: list[str], label: bool) -> bool:
+    """The answer's words are the question's once or more, perhaps behind a label of up to two words."""
     if not q or not a:
         return False
-    for skip in range(3):
-        rest = a[skip:]
-        if skip and ":" not in (answer or ""):
-            break
-        k = len(rest) // len(q)
-        if k and rest == q * k:
+    for skip in range(3 if label else 1):
+        k, over = divmod(len(a) - skip, len(q))
+        if k > 0 and not over and a[skip:] == q * k:
             return True
     return "".join(q) == "".join(a)
 
 
+def is_copy(question: str | None, answer: str | None) -> bool:
+    """The answer is the question once or more, perhaps behind a label with a colon."""
+    return repeats_question(words_of(question or ""), words_of(answer or ""), ":" in (answer or ""))
+
+
 def features(question: str | None, answer: str | None, lex: Lexicons) -> list[int]:
     """Hashed features of one pair."""
-    raw = regex.sub(r"\s*(?:\.\s?){2,}", "…", EDGE.sub("", answer or ""))
+    raw = DOTS.sub("…", EDGE.sub("", answer or ""))
     a, q = words_of(raw), words_of(question or "")
     f, g, lang, ending = ["bias", f"n{min(len(a), 5)}"], [], [], []
     if len(a) <= 3:
         g.append("whole " + " ".join(a))
-    if is_nothing(answer):
-        f.append("nothing")
+        if " ".join(a) in NOTHING:
+            f.append("nothing")
     wanted = TOKI if lex.toki else lex.asked
     if a:
         n = len(a)
@@ -126,7 +136,7 @@ def features(question: str | None, answer: str | None, lex: Lexicons) -> list[in
         f += [f"ra{bucket(ra)}", f"rq{bucket(rq)}", f"rr{bucket(ra)} {bucket(rq)}", f"in{bucket(same)} {min(3, n // max(1, len(q)))}"]
         if q and set(a) == set(q):
             f.append("same words")
-        if is_copy(question, raw):
+        if repeats_question(q, a, ":" in raw):
             f.append("copy")
         own, asked = sum(w in wanted for w in a) / n, sum(w in lex.asked for w in a) / n
         toki = sum(w in TOKI for w in a) / n
@@ -137,7 +147,7 @@ def features(question: str | None, answer: str | None, lex: Lexicons) -> list[in
         g += [f"b {x} {y}" for x, y in zip(a, a[1:], strict=False)]
         g += ["first " + a[0], "first " + " ".join(a[:2])]
         end = raw[-1] if not raw[-1].isalnum() else "w"
-        closed = regex.sub(r"[\"'”»)\]*_’]+$", "", raw)
+        closed = CLOSING.sub("", raw)
         mark = closed[-1] if closed and not closed[-1].isalnum() else "w"
         last, known = a[-1], a[-1] in lex.seen
         ending += [f"end {end}", f"mark {mark}", f"known {known}", f"known {known} {mark}", f"len {len(last) < 3} {known} {mark}"]
@@ -195,6 +205,11 @@ def truncated(answer: str, rng: random.Random, toki: bool) -> str | None:
     return cut + rng.choice(["", "", "", "-", ",", "…", " ...", ";", "—"])
 
 
+def ended(answer: str, rng: random.Random) -> str:
+    """The whole answer with another end, which is no defect."""
+    return answer.rstrip(" .!?…") + rng.choice(["", "", "…", "...", " …", "!", "."])
+
+
 def foreign(text: str, own: list[str], rng: random.Random) -> str:
     """Words of no known language: the letters of a text exchanged by a random rule. Up to a third are words of the wanted language, as languages share some."""
     vowels, others = list("aeiouáéíóúäöü"), list("bcdfghjklmnpqrstvwxyzñçŝĉ")
@@ -207,10 +222,12 @@ def foreign(text: str, own: list[str], rng: random.Random) -> str:
 
 
 def synthetic(rows: list[tuple[str | None, str | None]], others: list[str], toki: bool, rng: random.Random) -> list[tuple[str | None, str | None, tuple[int, ...]]]:
-    """(question, answer, labels) made of sound rows. others: sentences in the languages that answers must not be in."""
+    """(question, answer, labels) made of sound rows, sound ones with another end among them. others: sentences in the languages that answers must not be in."""
     out = []
     away = (4,) if toki else ()
     for q, a in rows:
+        if a and rng.random() < SOUND_SHARE:
+            out.append((q, ended(a, rng), ()))
         k = rng.random()
         if k < 0.08:
             out.append((q, rng.choice(STANDINS), (0,)))
@@ -234,28 +251,22 @@ def synthetic(rows: list[tuple[str | None, str | None]], others: list[str], toki
 
 
 def fit_linear(rows: list[list[int]], labels: np.ndarray, rounds: int = 40, penalty: float = 1e-5) -> np.ndarray:
-    """Weights (features x labels) by full-batch Adam on the logistic loss."""
-    lengths = np.array([len(r) for r in rows])
+    """Weights (features x labels) by full-batch Adam on the logistic loss, a label at a time over the features by which it may be told."""
     cols = np.concatenate([np.array(r, np.int64) for r in rows])
-    used, col = np.unique(cols, return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), lengths)
-    starts = np.cumsum(lengths) - lengths
-    order = np.argsort(col, kind="stable")
-    at = np.concatenate([[0], np.flatnonzero(np.diff(col[order])) + 1])
-    row_by_col = row[order]
-    w = np.zeros((len(used), labels.shape[1]), np.float32)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    y = labels.astype(np.float32)
-    allowed = np.array([[g in told for told in TOLD_BY] for g in range(4)])[used & 3]
-    rare = (used & 3 == WORDING) & (np.bincount(col, minlength=len(used)) < RAREST)  # else single rows would be learnt by heart
-    mask = (allowed & ~rare[:, None]).astype(np.float32)
-    for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[col], starts, axis=0), -30, 30)))
-        g = np.add.reduceat((p - y)[row_by_col], at, axis=0) / len(rows) + penalty * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.15 * mask * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    rare = (cols & 3 == WORDING) & (np.bincount(cols, minlength=1 << BITS)[cols] < RAREST)  # else single rows would be learnt by heart
     out = np.zeros((1 << BITS, labels.shape[1]), np.float32)
-    out[used] = w
+    for j in range(labels.shape[1]):
+        own = np.isin(cols & 3, TOLD_BY[j]) & ~rare
+        used, col = np.unique(cols[own], return_inverse=True)
+        at, y = row[own], labels[:, j].astype(np.float64)
+        w, m, v = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
+        for t in range(1, rounds + 1):
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[col], len(rows)), -30, 30)))
+            g = np.bincount(col, (p - y)[at], len(used)) / len(rows) + penalty * w
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        out[used, j] = w
     return out
 
 
@@ -265,15 +276,26 @@ def scores(weights: np.ndarray, rows: list[list[int]]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def threshold(p: np.ndarray, y: np.ndarray, negatives_stand_for: float) -> float:
-    """The threshold of best F1, in the middle between the scores on its two sides."""
+def threshold(p: np.ndarray, y: np.ndarray, frequency: float) -> float:
+    """The threshold of best F1 where the defect has that frequency, in the middle between the scores on its two sides.
+
+    Held-out rows taken as sound that score above UNSURE count as neither: the sample isn't labelled, and a few of them are defective.
+    """
+    sure = (y > 0) | (p <= UNSURE)
+    p, y = p[sure], y[sure]
     order = np.argsort(-p)
-    tp, fp = np.cumsum(y[order]), np.cumsum(1 - y[order]) * negatives_stand_for
-    f = 2 * tp / (tp + fp + y.sum() + 1e-9)
-    i = int(np.argmax(f))
+    positives, negatives = max(1.0, float(y.sum())), max(1.0, float((1 - y).sum()))
+    tp, fp = np.cumsum(y[order]) / positives * frequency, np.cumsum(1 - y[order]) / negatives * (1 - frequency)
+    i = int(np.argmax(2 * tp / (tp + fp + frequency + 1e-12)))
     return float((p[order][i] + p[order][min(i + 1, len(p) - 1)]) / 2)
 
 
+def lossless(p: np.ndarray, y: np.ndarray) -> float:
+    """The threshold that all but HELD_OUT_LOSS of the defects reach, with room for unlike ones: half of the lowest score. 0, which leaves all to the exact check, where few are held out."""
+    found = np.sort(p[y > 0])
+    return float(found[int(len(found) * HELD_OUT_LOSS)] / 2) if len(found) >= 30 else 0.0
+
+
 class Model:
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray, lex: Lexicons):
         self.weights, self.thresholds, self.lex = weights, thresholds, lex
@@ -292,15 +314,18 @@ def train(rows: list[tuple[str | None, str | None]], others: list[str], lex: Lex
             y[len(kept) + i, list(ls)] = 1
         return [own[i] for i in kept] + [features(q, a, lex) for q, a, _ in made], y
 
-    kept = list(range(len(rows)))
+    kept, frequency = list(range(len(rows))), np.full(len(DEFECTS), 0.5)
     for _ in range(CLEANING_ROUNDS):  # each half is judged by a model that hasn't seen it
         rng.shuffle(kept)
         halves = [kept[::2], kept[1::2]]
         models = [fit_linear(*examples(h, 1)) if h else None for h in halves]
-        clean = []
+        clean, suspect = [], np.zeros(len(DEFECTS))
         for h, m in zip(halves, reversed(models), strict=True):
-            bad = (scores(m, [own[i] for i in h]) > 0.3).any(axis=1) if h and m is not None else [False] * len(h)
-            clean += [r for r, x in zip(h, bad, strict=True) if not x]
+            bad = scores(m, [own[i] for i in h]) > 0.3 if h and m is not None else np.zeros((len(h), len(DEFECTS)), np.bool_)
+            suspect += np.bincount(bad.argmax(axis=1)[bad.any(axis=1)], minlength=len(DEFECTS))
+            clean += [r for r, x in zip(h, bad.any(axis=1), strict=True) if not x]
+        if len(kept) == len(rows):
+            frequency = (suspect + 1) / (len(rows) + 2)
         kept = clean or kept
     x, y = examples(kept, 2)
     held = np.array([rng.random() < 0.25 for _ in x])
@@ -309,8 +334,7 @@ def train(rows: list[tuple[str | None, str | None]], others: list[str], lex: Lex
     trial = fit_linear([r for r, h in zip(x, held, strict=True) if not h], y[~held]) if not held.all() else fit_linear(x, y)
     at = held if held.any() else ~held
     p, t = scores(trial, [r for r, h in zip(x, at, strict=True) if h]), y[at]
-    cuts = np.array([np.clip(threshold(p[:, j], t[:, j], 4.0), 0.1, 0.5) for j in range(len(DEFECTS))])
-    cuts[[DEFECTS.index(k) for k in CHECKED]] = 0.1  # their finds are checked exactly
+    cuts = np.array([lossless(p[:, j], t[:, j]) if k in CHECKED else threshold(p[:, j], t[:, j], float(frequency[j])) for j, k in enumerate(DEFECTS)])
     weights = fit_linear(x, y)
     return Model(weights, cuts, lex)
 
@@ -345,8 +369,66 @@ def _frequent(words: DataFrame, least: int) -> HashedWords:
     return HashedWords(counts.select(h.alias("h")).toArrow()["h"].to_numpy())
 
 
-def _sample(df: DataFrame, *cols: str) -> list[tuple]:
-    return [tuple(r) for r in df.select(*cols).orderBy(F.xxhash64(*cols), *cols).limit(SAMPLE_ROWS).collect()]
+class Pairs:
+    """A table of pairs: rows, and how their answers have to be."""
+
+    def __init__(self, df: DataFrame, *, tab: str, row_id: str, question: str, answer: str, toki: bool, other_texts: DataFrame):
+        self.tab, self.toki = tab, toki
+        self.rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(question).alias("q"), F.col(answer).alias("a"))
+        self.others = other_texts.select(F.lit(None).cast("string").alias("q"), F.col("text").alias("a")).where("a IS NOT NULL").distinct()
+
+    def lexicons(self) -> Lexicons:
+        asked = _frequent(self.rows.select(F.explode(_spark_words(F.col("q"))).alias("w")), 2)
+        answers = self.rows.select(_spark_words(F.col("a")).alias("w")).where(F.size("w") > 1)
+        return Lexicons(_frequent(answers.select(F.explode(F.slice("w", 1, F.size("w") - 1)).alias("w")), 3) | asked, asked, self.toki)
+
+    def sample(self) -> DataFrame:
+        first = lambda df, other: df.select("q", "a").orderBy(F.xxhash64("q", "a"), "q", "a").limit(SAMPLE_ROWS).select(F.lit(self.tab).alias("tab"), F.lit(other).alias("other"), "q", "a")
+        return first(self.rows.where("a IS NOT NULL"), False).unionAll(first(self.others, True))
+
+
+def fitted(tables: list[Pairs]) -> dict[str, Model]:
+    """The classifier of each table by its name."""
+    spark = tables[0].rows.sparkSession
+    lexicons = {t.tab: t.lexicons() for t in tables}
+    shared = spark.sparkContext.broadcast(lexicons)
+    sample = tables[0].sample()
+    for t in tables[1:]:
+        sample = sample.unionAll(t.sample())
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["q", "a"], kind="stable")
+        none = lambda c: [x if isinstance(x, str) else None for x in c]
+        own, others = rows[~rows["other"]], rows[rows["other"]]
+        model = train(list(zip(none(own["q"]), none(own["a"]), strict=True)) or [(None, "")], none(others["a"]), shared.value[key[0]])
+        return pd.DataFrame({"tab": [key[0]], "model": [pickle.dumps((model.weights, model.thresholds))]})
+
+    # at most 2 x SAMPLE_ROWS rows a table
+    models = cut_lineage(sample.repartition(max(2, len(tables)), "tab").groupBy("tab").applyInPandas(fit, "tab string, model binary"))
+    found = {r["tab"]: Model(*pickle.loads(r["model"]), lexicons[r["tab"]]) for r in models.collect()}  # noqa: S301  (a row a table, written above)
+    for t in tables:
+        if t.tab not in found:  # no rows: nothing will be scored
+            found[t.tab] = train([(None, "")], [], lexicons[t.tab])
+    return found
+
+
+def defects_of(tables: list[Pairs]) -> DataFrame:
+    """(tab, row_id, defect) of every row with an unusable answer of all tables."""
+    out, models = None, fitted(tables)
+    for t in tables:
+        model = models[t.tab]
+        found = t.rows.mapInPandas(_scored(t.rows.sparkSession.sparkContext.broadcast(model)), "row_id long, defect string").select(F.lit(t.tab).alias("tab"), "row_id", "defect")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _scored(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            kinds = decide(shared.value, list(zip(b["q"], b["a"], strict=True)))
+            yield pd.DataFrame({"row_id": b["row_id"], "defect": kinds}).dropna(subset=["defect"])
+
+    return run
 
 
 def defective_pairs(df: DataFrame, *, tab: str, row_id: str, question: str, answer: str, toki: bool, other_texts: DataFrame) -> DataFrame:
@@ -355,20 +437,4 @@ def defective_pairs(df: DataFrame, *, tab: str, row_id: str, question: str, answ
     other_texts: column ``text`` with sentences in a language that answers must not be in. A null or blank question is no fault and can't be
     copied; a null answer is empty; repeated rows come out each; an empty table gives no rows.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(question).alias("q"), F.col(answer).alias("a"))
-    asked = _frequent(rows.select(F.explode(_spark_words(F.col("q"))).alias("w")), 2)
-    inner = _spark_words(F.col("a"))
-    seen = _frequent(rows.select(inner.alias("w")).where(F.size("w") > 1).select(F.explode(F.slice("w", 1, F.size("w") - 1)).alias("w")), 3) | asked
-    sample = _sample(rows.where("a IS NOT NULL"), "q", "a")
-    others = [t for (t,) in _sample(other_texts.select(F.col("text").alias("text")).where("text IS NOT NULL").distinct(), "text")]
-    if not sample:
-        sample = [(None, "")]
-    shared = spark.sparkContext.broadcast(train(sample, others, Lexicons(seen, asked, toki)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            kinds = decide(shared.value, list(zip(b["q"], b["a"], strict=True)))
-            yield pd.DataFrame({"row_id": b["row_id"], "defect": kinds}).dropna(subset=["defect"])
-
-    return rows.mapInPandas(run, "row_id long, defect string").select(F.lit(tab).alias("tab"), "row_id", "defect")
+    return defects_of([Pairs(df, tab=tab, row_id=row_id, question=question, answer=answer, toki=toki, other_texts=other_texts)])

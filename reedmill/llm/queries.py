@@ -66,13 +66,9 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pairs, replies = table(spark, d, "translation_pairs"), table(spark, d, "bird_english")
-    toki = defects.defective_pairs(
-        pairs, tab="translation_pairs", row_id="pair_id", question="en", answer="tp", toki=True, other_texts=replies.select(F.col("reply_en").alias("text"))
-    )
-    english = defects.defective_pairs(
-        replies, tab="bird_english", row_id="be_id", question="scene_en", answer="reply_en", toki=False, other_texts=pairs.select(F.col("tp").alias("text"))
-    )
-    return toki.unionByName(english)
+    toki = defects.Pairs(pairs, tab="translation_pairs", row_id="pair_id", question="en", answer="tp", toki=True, other_texts=replies.select(F.col("reply_en").alias("text")))
+    english = defects.Pairs(replies, tab="bird_english", row_id="be_id", question="scene_en", answer="reply_en", toki=False, other_texts=pairs.select(F.col("tp").alias("text")))
+    return defects.defects_of([toki, english])
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
