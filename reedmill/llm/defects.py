@@ -5,7 +5,7 @@ of each side stands in the other, the share of words of the wanted language, how
 rows (SAMPLE_ROWS a table, the rows of smallest hash) whose answers are taken as sound, and on synthetic defects made from them: emptied, refused,
 copied, cut off and swapped into another language. Sample rows that look defective to a model trained on the other half are dropped
 first; their share is the estimate of how frequent the defect is. The threshold of each defect is the one of best F1 on held-out rows, weighted so that defects are as
-frequent as that, without sound rows that look defective even so. Where a defect is exactly defined (empty, copied) the threshold is the one that finds all but HELD_OUT_LOSS of the held-out defects, as an exact check of the finds follows.
+frequent as that, without sound rows that look defective even so. Where a defect is exactly defined (empty, copied) the threshold is a tenth of the lowest score of a held-out defect, as an exact check of the finds follows.
 
 All tables' classifiers are trained at once, each in a task of its own, and kept in the checkpoint folder. Every row of the tables is then scored; word counts behind
 the features cover all rows.
@@ -36,7 +36,7 @@ TOLD_BY = ((PAIR,), (PAIR, WORDING, LANGUAGE, ENDING), (PAIR,), (PAIR, WORDING,
 SAMPLE_ROWS = 12_000
 MEMO_WORDS = 200_000
 CHECKED = ("empty", "copied")
-HELD_OUT_LOSS, UNSURE = 0.001, 0.5
+DIRTY = 0.3  # a row taken as sound that scores above is taken for neither
 BITS = 18
 CLEANING_ROUNDS = 2
 SOUND_SHARE = 0.2
@@ -279,9 +279,9 @@ def scores(weights: np.ndarray, rows: list[list[int]]) -> np.ndarray:
 def threshold(p: np.ndarray, y: np.ndarray, frequency: float) -> float:
     """The threshold of best F1 where the defect has that frequency, in the middle between the scores on its two sides.
 
-    Held-out rows taken as sound that score above UNSURE count as neither: the sample isn't labelled, and a few of them are defective.
+    Held-out rows taken as sound that score above DIRTY count as neither: the sample isn't labelled, and a few of them are defective.
     """
-    sure = (y > 0) | (p <= UNSURE)
+    sure = (y > 0) | (p <= DIRTY)
     p, y = p[sure], y[sure]
     order = np.argsort(-p)
     positives, negatives = max(1.0, float(y.sum())), max(1.0, float((1 - y).sum()))
@@ -291,9 +291,9 @@ def threshold(p: np.ndarray, y: np.ndarray, frequency: float) -> float:
 
 
 def lossless(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold that all but HELD_OUT_LOSS of the defects reach, with room for unlike ones: half of the lowest score. 0, which leaves all to the exact check, where few are held out."""
-    found = np.sort(p[y > 0])
-    return float(found[int(len(found) * HELD_OUT_LOSS)] / 2) if len(found) >= 30 else 0.0
+    """The threshold that all held-out defects reach, with room for unlike ones: a tenth of the lowest score. 0, which leaves all to the exact check, where few are held out."""
+    found = p[y > 0]
+    return float(found.min() / 10) if len(found) >= 30 else 0.0
 
 
 class Model:
@@ -321,7 +321,7 @@ def train(rows: list[tuple[str | None, str | None]], others: list[str], lex: Lex
         models = [fit_linear(*examples(h, 1)) if h else None for h in halves]
         clean, suspect = [], np.zeros(len(DEFECTS))
         for h, m in zip(halves, reversed(models), strict=True):
-            bad = scores(m, [own[i] for i in h]) > 0.3 if h and m is not None else np.zeros((len(h), len(DEFECTS)), np.bool_)
+            bad = scores(m, [own[i] for i in h]) > DIRTY if h and m is not None else np.zeros((len(h), len(DEFECTS)), np.bool_)
             suspect += np.bincount(bad.argmax(axis=1)[bad.any(axis=1)], minlength=len(DEFECTS))
             clean += [r for r, x in zip(h, bad.any(axis=1), strict=True) if not x]
         if len(kept) == len(rows):
