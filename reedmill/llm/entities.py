@@ -1,20 +1,21 @@
 """Problem 5: splits in which all rows of one entity stay together.
 
-Rows that name the same key are joined in a star to the smallest row of the key (n-1 edges, never all pairs). Borůvka-style rounds let
-each component take its smallest edge, contract along the chosen edges by pointer jumping, and keep those edges as a
-spanning forest in the checkpoint folder. Roots are then stratified by size: components so large that at most 10,000 of them can
-exist are dealt one by one to the split with the largest shortfall, all others systematically within their size band, by a low-discrepancy
-sequence over distributed ranks.
+Rows are contracted by key first: each row joins the smallest row of its keys, and only rows of several keys leave edges, between those smallest rows. On
+that graph Borůvka-style rounds let each component take its smallest edge, contract along the chosen edges by pointer jumping, and keep those edges; with the edges of the first step they are
+the spanning forest, which is written to the checkpoint folder. Where no row has several keys there is nothing left to contract and no round is run.
+
+Roots are stratified by size band and dealt to the splits systematically within their band, by a low-discrepancy sequence over distributed ranks. Only components of more than a
+thousandth of all rows, of which there are fewer than a thousand, are dealt one by one to the split with the largest shortfall, as no sequence can balance so few.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, small_side
+from ..session import cut_lineage, small_side, written
 
-RANK_BUCKETS = 256
+ROWS_A_BUCKET = 200_000
 
 
 def entity_key(raw: Column, is_document: Column) -> Column:
@@ -71,27 +72,68 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return labels, forest
 
 
+def contracted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``near``, the smallest row of any of its keys or null, and ``first``, whether a key begins with it; edges (u, v) between smallest rows of keys of one row). rows: id (unique), keys."""
+    keyed = rows.select("id", F.array_distinct(F.filter(F.coalesce("keys", F.array().cast(dict(rows.dtypes)["keys"])), lambda k: k.isNotNull())).alias("keys"))
+    named = keyed.select("id", F.explode_outer("keys").alias("key"))
+    firsts = named.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("v"))
+    at = named.join(firsts, "key", "left")
+    if keyed.where(F.size("keys") > 1).isEmpty():
+        return at.select("id", F.col("v").alias("near"), F.coalesce(F.col("v") == F.col("id"), F.lit(False)).alias("first")), at.select(F.col("v").alias("u"), "v").limit(0)
+    per = cut_lineage(at.groupBy("id").agg(F.array_sort(F.collect_set("v")).alias("vs")))  # as many as a row has keys
+    near = per.select("id", F.try_element_at("vs", F.lit(1)).alias("near"), F.array_contains("vs", F.col("id")).alias("first"))
+    edges = per.where(F.size("vs") > 1).select(F.col("vs")[0].alias("u"), F.explode(F.expr("slice(vs, 2, size(vs) - 1)")).alias("v")).distinct()
+    return near, edges
+
+
+def components_and_forest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, root) of all rows, edges (u, v) of a spanning forest of the linked rows). rows: id (unique), keys."""
+    near, edges = contracted(rows.select("id", "keys"))
+    near = cut_lineage(near)
+    labels, forest = spanning_forest(edges)
+    own = near.where(F.col("near").isNotNull() & ~F.col("first") & (F.col("near") != F.col("id"))).select(F.col("id").alias("u"), F.col("near").alias("v"))
+    roots = near.join(labels.select(F.col("v").alias("near"), "root"), "near", "left").select("id", F.coalesce("root", "near", "id").alias("root"))
+    return roots, own.unionByName(forest)
+
+
 def components(rows: DataFrame) -> DataFrame:
-    """rows with ``root``, the same for all rows linked by keys, directly or through others; rows without a key or a partner are their own root. rows: id (unique), keys, and any others."""
-    labels, _ = spanning_forest(star_edges(rows.select("id", "keys")))
-    return rows.join(labels.select(F.col("v").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    """rows with ``root``, the same for all rows linked by keys, directly or through others; rows without a key or a partner are their own root, rows without an id are left out. rows: id (unique), keys, and any others."""
+    roots, _ = components_and_forest(rows)
+    return rows.join(roots, "id")
+
+
+def forest_table(rows: DataFrame) -> DataFrame:
+    """The spanning forest (u, v) as a table in the checkpoint folder."""
+    return written(components_and_forest(rows)[1])
+
+
+def _torn(rows: DataFrame) -> DataFrame:
+    """(id, root, split) of the rows of components that are in several splits."""
+    joined = cut_lineage(components(rows).where(F.col("split").isNotNull()).select("id", "root", "split"))
+    torn = joined.groupBy("root").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo < hi").select("root")
+    return joined.join(torn, "root", "left_semi")
 
 
 def split_breaks(rows: DataFrame) -> DataFrame:
     """(row_a, row_b): rows of one component that are in different splits. rows: id, keys, split.
 
-    Components within one split, however large, drop out before the join, so that only pairs of the result are ever made.
+    Components within one split, however large, drop out before the join, so that only pairs of the result are ever made. ``break_members`` gives the same in a row for each row.
     """
-    joined = cut_lineage(components(rows).where(F.col("split").isNotNull()).select("id", "root", "split"))
-    torn = joined.groupBy("root").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo < hi").select("root")
-    part = joined.join(torn, "root", "left_semi")
-    a, b = part.select("root", F.col("id").alias("a"), F.col("split").alias("sa")), part.select("root", F.col("id").alias("b"), F.col("split").alias("sb"))
-    splits = part.select("split").distinct().withColumnRenamed("split", "sa")
-    later = splits.join(splits.select(F.col("sa").alias("sb")), F.col("sa") < F.col("sb"))  # a handful of names
-    a = a.join(F.broadcast(later), "sa")
+    part = _torn(rows)
+    later = part.select("root", "split").distinct().groupBy("root").agg(F.collect_set("split").alias("splits"))  # as many as there are splits
+    a = part.join(later, "root").select("root", F.col("id").alias("a"), F.explode(F.filter("splits", lambda s: s > F.col("split"))).alias("sb"))
+    b = part.select("root", F.col("id").alias("b"), F.col("split").alias("sb"))
     return a.join(b, ["root", "sb"]).select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b"))
 
 
+def break_members(rows: DataFrame) -> DataFrame:
+    """(id, root, split, n_elsewhere): each row whose component has rows in other splits, and how many; linear in the rows however large the component."""
+    part = _torn(rows)
+    counts = part.groupBy("root", "split").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("root").agg(F.sum("n").alias("total"))
+    return part.join(counts.join(totals, "root"), ["root", "split"]).select("id", "root", "split", (F.col("total") - F.col("n")).alias("n_elsewhere"))
+
+
 def _deal(fraction: Column, shares: list[tuple[str, float]]) -> Column:
     total, edge, out = sum(max(0.0, s) for _, s in shares) or 1.0, 0.0, F.lit(shares[-1][0])
     for name, share in reversed(shares[:-1]):
@@ -100,7 +142,7 @@ def _deal(fraction: Column, shares: list[tuple[str, float]]) -> Column:
     return out
 
 
-def assign_splits(rows: DataFrame, targets: list[tuple[str, float]], seed: int = 42, most_large: int = 10_000) -> DataFrame:
+def assign_splits(rows: DataFrame, targets: list[tuple[str, float]], seed: int = 42, most_large: int = 1_000) -> DataFrame:
     """rows (id, root, new_split): every component in one split, sizes near the target shares. rows: id, keys. An empty table gives no rows."""
     linked = cut_lineage(components(rows.select("id", "keys")).select("id", "root"))
     n = linked.count()
@@ -116,12 +158,11 @@ def assign_splits(rows: DataFrame, targets: list[tuple[str, float]], seed: int =
     shares = [(s, short[s]) for s, _ in targets]
     spark = rows.sparkSession
     order = F.xxhash64("root", F.lit(seed))
-    rest = sizes.where(F.col("size") <= limit).select("root", F.floor(F.log2("size")).cast("int").alias("band"), order.alias("o")).withColumn("bucket", F.pmod("o", F.lit(RANK_BUCKETS)))
-    counts = rest.groupBy("band", "bucket").agg(F.count("*").alias("n"))  # at most 64 bands of RANK_BUCKETS buckets
-    from pyspark.sql import Window as W
-
-    before = counts.withColumn("before", F.sum("n").over(W.partitionBy("band").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))).select("band", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = rest.join(F.broadcast(before), ["band", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("band", "bucket").orderBy("o", "root")))
+    rest = sizes.where(F.col("size") <= limit).select("root", F.floor(F.log2("size")).cast("int").alias("band"), order.alias("o"))
+    rest = rest.withColumn("bucket", F.pmod("o", F.lit(max(16, n // ROWS_A_BUCKET))))
+    counts = rest.groupBy("band", "bucket").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("band").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("band", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
+    ranked = rest.join(small_side(before), ["band", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("band", "bucket").orderBy("o", "root")))
     even = F.expr("(rank * 0.6180339887498949D + band * 0.37D) % 1")  # golden-ratio sequence: shares hold within any run of ranks
     small = ranked.select("root", _deal(even, shares).alias("new_split"))
     big = spark.createDataFrame(dealt, "root long, new_split string")

@@ -63,6 +63,14 @@ t as (select * from k where key in (select key from k group by key having count(
 select least(x.row_id, y.row_id) as row_a, greatest(x.row_id, y.row_id) as row_b from t x join t y on x.key = y.key and x.split < y.split
 """
 
+_KEYED5 = P5[: P5.index("t as (select")]
+P5_MEMBERS = f"""{_KEYED5} c as (select key, split, count(*) as n from k where split is not null group by all), n as (select key, sum(n) as total from c group by key having count(*) > 1)
+select row_id as id, split, cast(total - n as bigint) as n_elsewhere from k join c using (key, split) join n using (key)
+"""
+P5_FOREST = f"""{_KEYED5} g as (select key, count(*) as n from k group by key having count(*) > 1)
+select cast(sum(n) as bigint) as n_rows, cast(sum(n - 1) as bigint) as n_edges, count(*) as n_trees from g
+"""
+
 P1_REPORT = f"""
 with f as ({P1}),
 s as (select bird_id, nullif(regexp_replace(lower(trim(source, ' \t\r\n')), '[\\s_]+', '-', 'g'), '') as source from bird)
@@ -114,4 +122,4 @@ select doc_id from ({P9_SCORES}) where (salad_share > {SALAD_SHARE} or repeated_
 
 P9_INCOHERENT = f"select doc_id from ({P9_SCORES}) where salad_share > 0.5"
 
-ORACLES = {"p9_found": P9, "p9_incoherent": P9_INCOHERENT, "p9_scores": P9_SCORES, "p8_found": P8, "p1_found": P1, "p1_report": P1_REPORT, "p4_found": P4, "p4_collapse": P4_COLLAPSE, "p5_found": P5}
+ORACLES = {"p9_found": P9, "p9_incoherent": P9_INCOHERENT, "p9_scores": P9_SCORES, "p8_found": P8, "p1_found": P1, "p1_report": P1_REPORT, "p4_found": P4, "p4_collapse": P4_COLLAPSE, "p5_found": P5, "p5_members": P5_MEMBERS, "p5_forest": P5_FOREST}

@@ -50,8 +50,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return entities.split_breaks(_entity_rows(spark, d))
 
 
+def _few(df: DataFrame, most: int = 100_000) -> list:
+    """The rows of a table of targets; more than the driver should hold are an error, none is dropped."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} targets")
+    return rows
+
+
 def _targets(spark: SparkSession, d: str) -> list[tuple[str, float]]:
-    return [(r["split"], r["target_share"]) for r in table(spark, d, "split_targets").orderBy(F.desc("target_share"), "split").limit(100).collect()]
+    return [(r["split"], r["target_share"]) for r in _few(table(spark, d, "split_targets").orderBy(F.desc("target_share"), "split"))]
 
 
 def p5_assign(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +72,19 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("new_split", "n_rows", "n_groups", (F.col("n_rows") / F.col("total")).alias("share"))  # one row a split
 
 
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p5_found, each once, with the number of rows of its entity in other splits."""
+    return entities.break_members(_entity_rows(spark, d)).select("id", "split", "n_elsewhere")
+
+
+def p5_forest(spark: SparkSession, d: str) -> DataFrame:
+    """Size of the persisted spanning forest: linked rows, edges, trees."""
+    forest = entities.forest_table(_entity_rows(spark, d))
+    ends = forest.select(F.explode(F.array("u", "v")).alias("x")).agg(F.countDistinct("x").alias("n_rows"))
+    edges = forest.agg(F.count("*").alias("n_edges"))  # one row each
+    return ends.crossJoin(F.broadcast(edges)).select("n_rows", "n_edges", (F.col("n_rows") - F.col("n_edges")).alias("n_trees"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pairs, replies = table(spark, d, "translation_pairs"), table(spark, d, "bird_english")
     toki = defects.Pairs(pairs, tab="translation_pairs", row_id="pair_id", question="en", answer="tp", toki=True, other_texts=replies.select(F.col("reply_en").alias("text")))
@@ -102,7 +123,7 @@ def p2_document_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
-    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, d, "mix_targets").orderBy("source").limit(10_000).collect()]
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in _few(table(spark, d, "mix_targets").orderBy("source"))]
     return mixing.mix(_sizes(spark, d), targets)
 
 
@@ -158,7 +179,7 @@ def p9_incoherent(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        p1_found, p1_report, p2_token_budget, p2_document_tokens, p3_mix, p3_shares, p4_found, p4_collapse, p5_found, p5_assign, p5_shares, p6_found, p7_pack, p7_fill, p7_tiers,
+        p1_found, p1_report, p2_token_budget, p2_document_tokens, p3_mix, p3_shares, p4_found, p4_collapse, p5_found, p5_members, p5_forest, p5_assign, p5_shares, p6_found, p7_pack, p7_fill, p7_tiers,
         p8_found, p8_paraphrases, p9_found, p9_scores, p9_incoherent,
     )
 }

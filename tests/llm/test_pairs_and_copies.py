@@ -178,3 +178,25 @@ def test_split_breaks(spark):
     df = spark.createDataFrame(data, "id long, keys array<string>, split string")
     assert rows(entities.split_breaks(df)) == [(1, 2), (2, 3)]
     assert entities.split_breaks(df.limit(0)).count() == 0
+
+
+def test_forest_of_contracted_rows(spark):
+    rng = random.Random(19)
+    data = [(i, rng.choice([None, [], [f"a{rng.randrange(40)}"], [f"a{rng.randrange(40)}", f"b{rng.randrange(30)}"], [f"c{i}", "c0", None, "c0"]])) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, keys array<string>")
+    roots, forest = entities.components_and_forest(df)
+    want = plain_components(data)
+    groups = defaultdict(set)
+    for r in roots.collect():
+        groups[r.root].add(r.id)
+    assert {frozenset(g) for g in groups.values()} == want
+    edges = [tuple(r) for r in forest.collect()]
+    assert len(edges) == len(data) - len(want)
+    assert plain_components([(i, [f"e{k}" for k, e in enumerate(edges) if i in e]) for i, _ in data]) == want
+
+
+def test_break_members(spark):
+    data = [(1, ["a"], "train"), (2, ["a"], "val"), (3, ["a"], "train"), (4, ["b"], "train"), (5, ["b"], "train"), (6, None, "val"), (7, ["c"], None), (8, ["c"], "val")]
+    df = spark.createDataFrame(data, "id long, keys array<string>, split string")
+    assert rows(entities.break_members(df).select("id", "split", "n_elsewhere")) == [(1, "train", 1), (2, "val", 2), (3, "train", 1)]
+    assert entities.break_members(df.limit(0)).count() == 0 and entities.forest_table(df.limit(0)).count() == 0
