@@ -74,7 +74,7 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def contracted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with ``near``, the smallest row of any of its keys or null, and ``first``, whether a key begins with it; edges (u, v) between smallest rows of keys of one row). rows: id (unique), keys."""
-    keyed = rows.select("id", F.array_distinct(F.filter(F.coalesce("keys", F.array().cast(dict(rows.dtypes)["keys"])), lambda k: k.isNotNull())).alias("keys"))
+    keyed = cut_lineage(rows.select("id", F.array_distinct(F.filter(F.coalesce("keys", F.array().cast(dict(rows.dtypes)["keys"])), lambda k: k.isNotNull())).alias("keys")))
     named = keyed.select("id", F.explode_outer("keys").alias("key"))
     firsts = named.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("v"))
     at = named.join(firsts, "key", "left")
