@@ -153,6 +153,35 @@ def test_draws_meet_their_totals():
     assert (draws.sum(axis=0) == slots).all() and (draws >= 0).all()
 
 
+def test_blocks_are_of_one_length(spark):
+    rng = random.Random(14)
+    data = [("t", i, rng.choice(["a", "b"]), rng.choice([1, 7, 40, 300, 1000])) for i in range(900)]
+    parts = mixing.blocks(spark.createDataFrame(data, "tab string, id long, source string, n_tokens long"), 3, 64).collect()
+    size, covered = Counter(), {}
+    for r in parts:
+        size[r.source, r.block] += r.n_tokens
+        covered.setdefault(r.id, []).append((r.begin, r.n_tokens))
+    last = {s: max(b for x, b in size if x == s) for s in "ab"}
+    assert all(n == 64 or b == last[s] and 0 < n <= 64 for (s, b), n in size.items())
+    for _, i, _, n in data:  # parts make up the row, end to end
+        at = 0
+        for begin, k in sorted(covered[i]):
+            assert begin == at
+            at += k
+        assert at == n
+
+
+def test_shards_have_no_ceiling(spark, monkeypatch):
+    data = [("t", i, "ab"[i % 2], 64) for i in range(20_000)]
+    df = spark.createDataFrame(data, "tab string, id long, source string, n_tokens long")
+    monkeypatch.setattr(mixing, "GROUPS", 7)
+    monkeypatch.setattr(mixing, "SLOTS_A_SHARD", 16)
+    mixed = mixing.mix(df, [("a", 0.5, 1), ("b", 0.5, 1)], block_tokens=64)
+    got = mixed.groupBy("shard").agg(F.count("*").alias("n")).collect()
+    assert len(got) == 20_000 // 16 and sum(r.n for r in got) == 20_000 and max(r.n for r in got) < 64
+    assert mixed.select("id").distinct().count() == 20_000 and mixed.select("source", "slot").distinct().count() == 20_000
+
+
 def test_mix(spark):
     rng = random.Random(4)
     data = [("t", i, "big", rng.randrange(5, 60)) for i in range(6_000)] + [("t", 10_000 + i, "small", rng.randrange(5, 60)) for i in range(400)]
