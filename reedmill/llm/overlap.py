@@ -1,32 +1,45 @@
 """Problem 1: the same or nearly the same records in evaluation and training splits.
 
-Edit-distance segment join over word bags. A string becomes the sorted sequence of its words, one code character a word, so that
-word order, case, punctuation, spacing and script no longer matter and the insert/delete distance of two sequences is
+Edit-distance segment join over word bags. A string becomes the sequence of its words from the rarest to the most frequent (of the evaluation strings; any order would be right), one code
+character a word, so that word order, case, punctuation, spacing and script no longer matter and the insert/delete distance of two sequences is
 ``n + m - 2 * common words``. With at least a share s of the longer side in common this distance is at most (2 - 2s) * n = k for an
 evaluation string of n words. The string is cut into k+1 segments; by the pigeonhole principle one of them stands unchanged in the
-training string, at a position whose left side needs at most i edits and whose right side at most k-i. Training strings emit their
-substrings once, look them up in the segment table, and surviving pairs are verified: banded dynamic programming first
+training string, at a position whose left side needs at most i edits and whose right side at most k-i. As frequent words make poor segments, the k rarest words are
+a segment each and all the others together are the last one, which can only stand at the end. Training strings emit their
+words and ends once, look them up in the segment table, and surviving pairs are verified: banded dynamic programming first
 (``levenshtein`` with a threshold), the exact multiset overlap of the words last.
 
-Nothing is shuffled but the verified pairs: the training side is only scanned and the evaluation side is broadcast after a count has
+Nothing is shuffled but the verified pairs: the training side is only scanned and the evaluation side is broadcast after a check of its rows and bytes has
 shown that it is small (else AQE's skew-aware shuffle join does the lookup).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bind import let, settled
+from ..functions.arrays import numbered
+from ..functions.bind import settled
 from ..functions.script import alnum_words, tidy_label
-from ..session import small_side
+from ..session import cut_lineage, small_side
+
+
+#: Code characters: first one and number of them for words of each class of frequency, the rarest first; and how many words are in the classes.
+CODES = ((0x4E00, 16_000), (0x4E00 + 16_000, 2_000), (0x4E00 + 18_000, 1_500), (0x4E00 + 19_500, 500))
+CLASSES = (256, 64, 8)
+
 
+def _coded(words: Column, frequent: list[str]) -> Column:
+    """Words from rare to frequent as one string of one character a word (a hash within its class; collisions are sorted out by the exact check)."""
+
+    def code(w: Column) -> Column:
+        place = lambda c: F.pmod(F.xxhash64(w), F.lit(c[1])) + c[0]
+        out = place(CODES[0])
+        for size, c in zip(CLASSES, CODES[1:], strict=True):
+            if frequent[:size]:
+                out = F.when(w.isin(frequent[:size]), place(c)).otherwise(out)
+        return F.decode(F.unhex(F.lpad(F.hex(out), 4, "0")), "UTF-16BE")
 
-def _coded(words: Column) -> Column:
-    """Sorted words as one string of one character a word (a hash; collisions are sorted out by the exact check)."""
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(20000)) + 0x4E00), 4, "0")), "UTF-16BE")
     return F.array_join(F.array_sort(F.transform(words, code)), "")
 
 
@@ -35,62 +48,65 @@ def _mask(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(63)).cast("int"))))
 
 
-def _numbered(bag: Column) -> Column:
-    """'a a b' -> [a 0, a 1, b 0]: equal words become distinct, so a set intersection is a multiset intersection."""
-    return let(F.split(bag, " "), lambda words: F.transform(words, lambda w, i: F.concat_ws(" ", w, (i - F.array_position(words, w)).cast("string"))))
-
-
 def overlaps(
     evals: DataFrame, train: DataFrame, *, eval_id: str, eval_texts: list[list[str]], train_id: str, train_text: str, min_share: float = 0.7,
 ) -> DataFrame:
     """Pairs (eval_id, train_id, share) whose word bags have at least ``min_share`` of the longer side in common.
 
     ``eval_texts`` lists the strings made of one evaluation row, each a list of columns put one after the other; the best one counts.
-    Null and wordless texts match nothing, repeated rows give a pair each, empty tables give no rows, other columns are ignored.
+    Null and wordless texts match nothing, repeated rows give a pair each, empty tables give no rows, other columns are ignored. min_share: above 0.5, at most 1.
     """
-    k_of = lambda n: F.floor(n * (2 - 2 * min_share) + 1e-6).cast("int")
-    longest = math.ceil(1 / (2 - 2 * min_share))
+    pairs = candidates(evals, train, eval_id=eval_id, eval_texts=eval_texts, train_id=train_id, train_text=train_text, min_share=min_share)
+    longer = F.greatest("n", "m")
+    band = F.floor(F.col("n") + F.col("m") - 2 * min_share * longer + 1e-6).cast("int")
+    close = pairs.where(F.bit_count(F.col("e_mask").bitwiseXOR(F.col("t_mask"))) <= band).withColumn("band", band).where(F.expr("levenshtein(e_code, t_code, band) >= 0"))
+    bag = lambda c: numbered(F.split(c, " "))
+    common = F.size(F.array_intersect(bag(F.col("e_bag")), bag(F.col("t_bag"))))
+    return (
+        close.select("e_id", "t_id", (common / longer).alias("share"))
+        .where(F.col("share") >= min_share - 1e-9)
+        .groupBy("e_id", "t_id")
+        .agg(F.max("share").alias("share"))
+        .select(F.col("e_id").alias(eval_id), F.col("t_id").alias(train_id), "share")
+    )
+
+
+def candidates(evals: DataFrame, train: DataFrame, *, eval_id: str, eval_texts: list[list[str]], train_id: str, train_text: str, min_share: float = 0.7) -> DataFrame:
+    """The segment matches that keep the position limits, with both sides' codes; a pair comes once for each of its matches."""
+    if not 0.5 < min_share <= 1:
+        raise ValueError("min_share must be above 0.5 and at most 1")
+    k_of = f"cast(floor(n * {2 - 2 * min_share!r} + 1e-6) as int)"
     first = evals.select(
         F.col(eval_id).alias("e_id"),
         F.explode(F.array(*[F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in cols]) for cols in eval_texts])).alias("e_text"),
     ).distinct()
+    worded = cut_lineage(settled(first.select("e_id", alnum_words(F.col("e_text")).alias("w"))).where(F.size("w") > 0))
+    counts = worded.select("e_id", F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    frequent = [r["word"] for r in counts.orderBy(F.desc("c"), "word").limit(CLASSES[0]).collect()]
+    lengths = [r["n"] for r in worded.select(F.size("w").alias("n")).distinct().collect()]  # at most as many as the longest string has words
     strings = (
-        settled(first.select("e_id", alnum_words(F.col("e_text")).alias("w")))
-        .where(F.size("w") > 0)
-        .select("e_id", F.size("w").alias("n"), F.array_join(F.array_sort("w"), " ").alias("e_bag"), _coded(F.col("w")).alias("e_code"), _mask(F.col("w")).alias("e_mask"))
+        worded.select("e_id", F.size("w").alias("n"), F.array_join(F.array_sort("w"), " ").alias("e_bag"), _coded(F.col("w"), frequent).alias("e_code"), _mask(F.col("w")).alias("e_mask"))
         .distinct()
-        .withColumn("k", k_of(F.col("n")))
+        .withColumn("k", F.expr(k_of))
     )
-    cut = lambda i: F.floor(i * F.col("n") / (F.col("k") + 1)).cast("int")
-    segments = strings.select(
-        "*", F.explode(F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(i.alias("i"), cut(i).alias("p"), cut(i + 1).alias("end")))).alias("s")
-    ).select("e_id", "n", "k", "e_bag", "e_code", "e_mask", F.col("s.i").alias("i"), F.col("s.p").alias("p"), F.expr("substring(e_code, s.p + 1, s.end - s.p)").alias("piece"))
+    words = F.expr("transform(sequence(0, k), i -> struct(i as i, if(i < k, substring(e_code, i + 1, 1), concat('|', substring(e_code, k + 1, n - k))) as piece))")
+    segments = strings.select("*", F.inline(words))
+    fitting = f"filter(array({', '.join(map(str, lengths)) or '0'}), n -> least(n, m) >= {min_share!r} * greatest(n, m) - 1e-9)"
+    ends = f"transform(array_distinct(transform({fitting}, n -> n - {k_of})), l -> struct(m - l as q, concat('|', substring(t_code, m - l + 1, l)) as piece))"
+    singles = "transform(sequence(0, m - 1), q -> struct(q as q, substring(t_code, q + 1, 1) as piece))"
+    longest = max(lengths, default=0) / min_share + 1e-6
     pieces = (
         settled(train.select(F.col(train_id).alias("t_id"), alnum_words(F.col(train_text)).alias("w")))
-        .where(F.size("w") > 0)
-        .select("t_id", F.size("w").alias("m"), F.array_join(F.array_sort("w"), " ").alias("t_bag"), _coded(F.col("w")).alias("t_code"), _mask(F.col("w")).alias("t_mask"))
-        .select("*", F.explode(F.expr(f"flatten(transform(sequence(1, least({longest}, m)), l -> transform(sequence(0, m - l), q -> struct(q as q, substring(t_code, q + 1, l) as piece))))")).alias("s"))
-        .select("t_id", "m", "t_bag", "t_code", "t_mask", F.col("s.q").alias("q"), F.col("s.piece").alias("piece"))
-    )
-    pieces = settled(pieces)
-    shift, longer = F.col("q") - F.col("p"), F.greatest("n", "m")
-    band = F.floor(F.col("n") + F.col("m") - 2 * min_share * longer + 1e-6).cast("int")
-    pairs = (
-        pieces.join(small_side(segments), "piece")
-        .where(F.least("n", "m") >= min_share * longer - 1e-9)
-        .where((F.abs(shift) <= F.col("i")) & (F.abs(shift - (F.col("m") - F.col("n"))) <= F.col("k") - F.col("i")))
-        .where(F.bit_count(F.col("e_mask").bitwiseXOR(F.col("t_mask"))) <= band)
-        .withColumn("band", band)
-        .where(F.expr("levenshtein(e_code, t_code, band) >= 0"))
+        .where((F.size("w") > 0) & (F.size("w") <= longest))  # longer ones can't have the share
+        .select("t_id", F.size("w").alias("m"), F.array_join(F.array_sort("w"), " ").alias("t_bag"), _coded(F.col("w"), frequent).alias("t_code"), _mask(F.col("w")).alias("t_mask"))
+        .select("*", F.inline(F.expr(f"concat({singles}, {ends})")))
     )
-    common = F.size(F.array_intersect(_numbered(F.col("e_bag")), _numbered(F.col("t_bag"))))
+    shift = F.col("q") - F.col("i")
     return (
-        pairs.select("e_id", "t_id", (common / longer).alias("share"))
-        .where(F.col("share") >= min_share - 1e-9)
-        .groupBy("e_id", "t_id")
-        .agg(F.max("share").alias("share"))
-        .select(F.col("e_id").alias(eval_id), F.col("t_id").alias(train_id), "share")
-    )
+        settled(pieces).join(small_side(segments), "piece")
+        .where(F.least("n", "m") >= min_share * F.greatest("n", "m") - 1e-9)
+        .where((F.abs(shift) <= F.col("i")) & (F.abs(shift - (F.col("m") - F.col("n"))) <= F.col("k") - F.col("i")))
+    )
 
 
 def overlap_report(pairs: DataFrame, evals: DataFrame, train: DataFrame, *, eval_id: str, eval_split: str, train_id: str, train_source: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import unicodedata
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from reedmill.llm import copies, entities, overlap
@@ -48,6 +49,23 @@ def test_overlaps_equal_brute_force(spark):
     assert got == sorted(want) and len(want) > 20
 
 
+def test_overlaps_of_other_shares(spark):
+    rng = random.Random(33)
+    gold = [(i, sentence(rng, rng.randint(1, 9))) for i in range(30)]
+    train = [(100 + i, " ".join(rng.sample((w := rng.choice(gold)[1].split()), len(w))) if i % 2 else sentence(rng, rng.randint(1, 9))) for i in range(120)]
+    g, t = spark.createDataFrame(gold, "gid long, text string"), spark.createDataFrame(train, "tid long, text string")
+    for share in (1.0, 0.85, 0.55):
+        want = set()
+        for i, x in gold:
+            for j, y in train:
+                a, b = Counter(x.split()), Counter(y.split())
+                if sum((a & b).values()) >= share * max(sum(a.values()), sum(b.values())) - 1e-9:
+                    want.add((i, j))
+        assert rows(overlap.overlaps(g, t, eval_id="gid", eval_texts=[["text"]], train_id="tid", train_text="text", min_share=share).select("gid", "tid")) == sorted(want)
+    with pytest.raises(ValueError):
+        overlap.overlaps(g, t, eval_id="gid", eval_texts=[["text"]], train_id="tid", train_text="text", min_share=0.5)
+
+
 def test_overlap_edge_cases(spark):
     gold = spark.createDataFrame([(1, "mi pona", None, "x"), (2, None, None, "x"), (3, "", "", "x"), (4, "󱤴󱥔", None, "x")], "gid long, text string, ctx string, t_id string")
     train = spark.createDataFrame([(7, "PONA, mi."), (8, None), (9, ""), (10, "pona mi"), (10, "pona mi"), (11, "x " * 5000)], "tid long, text string")
