@@ -17,8 +17,8 @@ import hashlib
 import pickle
 import random
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -90,11 +90,43 @@ class HashedWords:
         return {"hashes": self.hashes, "memo": {}}
 
 
+class _Words(dict):
+    """What is known of a word: (in the wanted language, asked, Toki Pona, English); kept for the words met before."""
+
+    def __init__(self, lex: Lexicons):
+        super().__init__()
+        self.lex = lex
+
+    def __missing__(self, w: str) -> tuple[bool, bool, bool, bool]:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        toki, asked = w in TOKI, w in self.lex.asked
+        self[w] = found = (toki if self.lex.toki else asked, asked, toki, w in ENGLISH or "'" in w)
+        return found
+
+
+class _Ids(dict):
+    """Numbers of features, (group, name, ...) each; kept for those met before."""
+
+    def __missing__(self, key: tuple) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[key] = found = zlib.crc32(" ".join(map(str, key[1:])).encode()) & ((1 << BITS) - 4) | key[0]
+        return found
+
+
 class Lexicons:
     """seen: words that occur inside answers or in questions; asked: words of questions."""
 
     def __init__(self, seen: frozenset[str], asked: frozenset[str], toki: bool):
         self.seen, self.asked, self.toki = seen, asked, toki
+        self.words, self.ids = _Words(self), _Ids()
+
+    def __getstate__(self) -> dict:
+        return {"seen": self.seen, "asked": self.asked, "toki": self.toki}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
 
 
 def is_nothing(answer: str | None) -> bool:
@@ -121,39 +153,45 @@ def features(question: str | None, answer: str | None, lex: Lexicons) -> list[in
     """Hashed features of one pair."""
     raw = DOTS.sub("…", EDGE.sub("", answer or ""))
     a, q = words_of(raw), words_of(question or "")
-    f, g, lang, ending = ["bias", f"n{min(len(a), 5)}"], [], [], []
-    if len(a) <= 3:
-        g.append("whole " + " ".join(a))
-        if " ".join(a) in NOTHING:
-            f.append("nothing")
-    wanted = TOKI if lex.toki else lex.asked
-    if a:
-        n = len(a)
-        ca, cq = Counter(a), Counter(q)
-        common = sum((ca & cq).values())
-        ra, rq = common / n, common / max(1, len(q))
-        same = sum(w in cq for w in a) / n
-        f += [f"ra{bucket(ra)}", f"rq{bucket(rq)}", f"rr{bucket(ra)} {bucket(rq)}", f"in{bucket(same)} {min(3, n // max(1, len(q)))}"]
-        if q and set(a) == set(q):
-            f.append("same words")
-        if repeats_question(q, a, ":" in raw):
-            f.append("copy")
-        own, asked = sum(w in wanted for w in a) / n, sum(w in lex.asked for w in a) / n
-        toki = sum(w in TOKI for w in a) / n
-        english = bucket(sum(w in ENGLISH or "'" in w for w in a) / n)
-        lang += [f"english{english}", f"which{bucket(own)} {bucket(toki)} {english}"]
-        lang += [f"own{bucket(own)}", f"asked{bucket(asked)}", f"toki{bucket(toki)}", f"langs{bucket(own)} {bucket(toki)}"]
-        g += ["u " + w for w in ca]
-        g += [f"b {x} {y}" for x, y in zip(a, a[1:], strict=False)]
-        g += ["first " + a[0], "first " + " ".join(a[:2])]
-        end = raw[-1] if not raw[-1].isalnum() else "w"
-        closed = CLOSING.sub("", raw)
-        mark = closed[-1] if closed and not closed[-1].isalnum() else "w"
-        last, known = a[-1], a[-1] in lex.seen
-        ending += [f"end {end}", f"mark {mark}", f"known {known}", f"known {known} {mark}", f"len {len(last) < 3} {known} {mark}"]
-        g += ["last " + last, f"last {last} {mark}", f"last2 {' '.join(a[-2:])}", f"last3 {' '.join(a[-3:])}"]
-        g += [f"lastq {last} {w}" for w in q[-3:]]
-    return [zlib.crc32(x.encode()) & ((1 << BITS) - 4) | group for group, names in ((PAIR, f), (WORDING, g), (LANGUAGE, lang), (ENDING, ending)) for x in set(names)]
+    n, ids, words = len(a), lex.ids, lex.words
+    out = [ids[PAIR, "bias"], ids[PAIR, "n", min(n, 5)]]
+    if n <= 3:
+        whole = " ".join(a)
+        out.append(ids[WORDING, "whole", whole])
+        if whole in NOTHING:
+            out.append(ids[PAIR, "nothing"])
+    if not a:
+        return out
+    left: dict[str, int] = {}
+    for w in q:
+        left[w] = left.get(w, 0) + 1
+    common = same = own = asked = toki = english = 0
+    for w in a:
+        if w in left:
+            same += 1
+            if left[w]:
+                left[w] -= 1
+                common += 1
+        i = words[w]
+        own, asked, toki, english = own + i[0], asked + i[1], toki + i[2], english + i[3]
+    ra, rq, rs = bucket(common / n), bucket(common / max(1, len(q))), bucket(same / n)
+    out += [ids[PAIR, "ra", ra], ids[PAIR, "rq", rq], ids[PAIR, "rr", ra, rq], ids[PAIR, "in", rs, min(3, n // max(1, len(q)))]]
+    if q and set(a) == set(q):
+        out.append(ids[PAIR, "same words"])
+    if repeats_question(q, a, ":" in raw):
+        out.append(ids[PAIR, "copy"])
+    o, s, t, e = bucket(own / n), bucket(asked / n), bucket(toki / n), bucket(english / n)
+    out += [ids[LANGUAGE, "english", e], ids[LANGUAGE, "which", o, t, e], ids[LANGUAGE, "own", o], ids[LANGUAGE, "asked", s], ids[LANGUAGE, "toki", t], ids[LANGUAGE, "langs", o, t]]
+    out += [ids[WORDING, "u", w] for w in a]
+    out += [ids[WORDING, "b", x, y] for x, y in zip(a, a[1:], strict=False)]
+    end = raw[-1] if not raw[-1].isalnum() else "w"
+    closed = CLOSING.sub("", raw)
+    mark = closed[-1] if closed and not closed[-1].isalnum() else "w"
+    last, known = a[-1], a[-1] in lex.seen
+    out += [ids[WORDING, "first", *a[:1]], ids[WORDING, "first", *a[:2]], ids[WORDING, "last", last], ids[WORDING, "last", last, mark], ids[WORDING, "last2", *a[-2:]], ids[WORDING, "last3", *a[-3:]]]
+    out += [ids[ENDING, "end", end], ids[ENDING, "mark", mark], ids[ENDING, "known", known], ids[ENDING, "known", known, mark], ids[ENDING, "len", len(last) < 3, known, mark]]
+    out += [ids[WORDING, "lastq", last, w] for w in q[-3:]]
+    return list(set(out))
 
 
 # --- synthetic defects -------------------------------------------------------------------------------------------------------------
@@ -252,8 +290,9 @@ def synthetic(rows: list[tuple[str | None, str | None]], others: list[str], toki
 
 def fit_linear(rows: list[list[int]], labels: np.ndarray, rounds: int = 40, penalty: float = 1e-5) -> np.ndarray:
     """Weights (features x labels) by full-batch Adam on the logistic loss, a label at a time over the features by which it may be told."""
-    cols = np.concatenate([np.array(r, np.int64) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    cols = np.fromiter(chain.from_iterable(rows), np.int64, int(lengths.sum()))
+    row = np.repeat(np.arange(len(rows)), lengths)
     rare = (cols & 3 == WORDING) & (np.bincount(cols, minlength=1 << BITS)[cols] < RAREST)  # else single rows would be learnt by heart
     out = np.zeros((1 << BITS, labels.shape[1]), np.float32)
     for j in range(labels.shape[1]):
@@ -271,8 +310,8 @@ def fit_linear(rows: list[list[int]], labels: np.ndarray, rounds: int = 40, pena
 
 
 def scores(weights: np.ndarray, rows: list[list[int]]) -> np.ndarray:
-    lengths = np.array([len(r) for r in rows])
-    z = np.add.reduceat(weights[np.concatenate([np.array(r, np.int64) for r in rows])], np.cumsum(lengths) - lengths, axis=0)
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    z = np.add.reduceat(weights[np.fromiter(chain.from_iterable(rows), np.int64, int(lengths.sum()))], np.cumsum(lengths) - lengths, axis=0)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
