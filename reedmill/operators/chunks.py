@@ -36,12 +36,15 @@ def packed_chunks(text: Column, limit: int = MAX_CHUNK) -> Column:
 
 def continuation(chunk: Column, draw: Column) -> Column:
     """struct(prefix, suffix) of a chunk, null if it has one sentence or too short a prefix. draw: a non-negative whole number that picks the cut."""
-    s = sentences(chunk)
-    n = F.size(s)
-    k = (1 + F.pmod(draw, F.greatest(F.least(F.lit(PREFIX_SENTENCES), n - 1), F.lit(1)))).cast("int")
     join = lambda part: F.array_join(F.transform(part, ensure_end), " ")
-    prefix, suffix = join(F.slice(s, 1, k)), join(F.slice(s, k + 1, SUFFIX_SENTENCES))
-    return F.when((n >= 2) & (F.size(ascii_words(prefix)) >= PREFIX_WORDS), F.struct(prefix.alias("prefix"), suffix.alias("suffix")))
+
+    def cut(b: Column) -> Column:
+        s, n = b["s"], F.size(b["s"])
+        k = (1 + F.pmod(b["draw"], F.greatest(F.least(F.lit(PREFIX_SENTENCES), n - 1), F.lit(1)))).cast("int")
+        both = F.struct(join(F.slice(s, 1, k)).alias("prefix"), join(F.slice(s, k + 1, SUFFIX_SENTENCES)).alias("suffix"))
+        return F.when(n >= 2, let(both, lambda p: F.when(F.size(ascii_words(p["prefix"])) >= PREFIX_WORDS, p)))
+
+    return let(F.struct(sentences(chunk).alias("s"), draw.alias("draw")), cut)
 
 
 def ngrams(words: Column, n: int) -> Column:

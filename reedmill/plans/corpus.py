@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import phonology, text
-from ..functions.script import GLYPH_OF, LETTER_WORDS, MIDDLE_COLON, NAME_END, NAME_START, WORDS, tidy_label
+from ..functions.script import GLYPH_OF, LETTER_WORDS, MIDDLE_COLON, NAME_END, NAME_START, WORD_OF, WORDS, tidy_label
 from ..operators import chunks, gates
 from ..operators.metrics import share
 from ..session import table
@@ -240,21 +240,31 @@ _GLYPH = "map {" + ", ".join(f"'{w}': '{g}'" for w, g in GLYPH_OF.items()) + "}"
 _LETTER = "map {" + ", ".join(f"'{k}': '{GLYPH_OF[w]}'" for k, w in LETTER_WORDS.items()) + "}"
 
 
-@query(f"""
-with t as (select bird_id, list_transform(regexp_extract_all(text, '[A-Za-z]+|[.!?:,]'), lambda t: case when regexp_matches(t, '^[.!?]$') then ' ' when t = ':' then '{chr(MIDDLE_COLON)}' when t = ',' then ''
+def _glyphs_sql(t: str) -> str:
+    return f"""trim(regexp_replace(array_to_string(list_transform(regexp_extract_all({t}, '[A-Za-z]+|[.!?:,]'), lambda t: case when regexp_matches(t, '^[.!?]$') then ' ' when t = ':' then '{chr(MIDDLE_COLON)}' when t = ',' then ''
   when ({_GLYPH})[lower(t)] is not null then ({_GLYPH})[lower(t)]
   when regexp_matches(t, '^[A-Z]') then '{chr(NAME_START)}' || array_to_string(list_filter(list_transform(string_split(lower(t), ''), lambda c: ({_LETTER})[c]), lambda g: g is not null), '') || '{chr(NAME_END)}'
-  else '' end) as g from bird where text is not null)
-select bird_id, trim(regexp_replace(array_to_string(g, ''), ' +', ' ', 'g')) as glyphs from t
-""")
+  else '' end), ''), ' +', ' ', 'g'))"""
+
+
+@query(f"select bird_id, {_glyphs_sql('text')} as glyphs from bird where text is not null")
 def latin_to_ucsur(spark: SparkSession, d: str) -> DataFrame:
     """Glyph text of the training lines."""
     return table(spark, d, "bird").where("text IS NOT NULL").select("bird_id", phonology.latin_to_ucsur(F.col("text")).alias("glyphs"))
 
 
-@query()
+_WORD = "map {" + ", ".join(f"'{g}': '{w}'" for g, w in WORD_OF.items()) + "}"
+_CARTOUCHE = f"upper(({_WORD})[t[2]][1]) || array_to_string(list_transform(string_split(t[3:-2], ''), lambda c: coalesce(({_WORD})[c][1], '')), '')"
+
+
+@query(f"""
+with g as (select gold_id, text, {_glyphs_sql("text")} as g from bird_gold where text is not null)
+select gold_id, text, ltrim(array_to_string(list_transform(regexp_extract_all(g, '{chr(NAME_START)}[^{chr(NAME_END)}]*{chr(NAME_END)}|.'),
+  lambda t: case when t = '{chr(MIDDLE_COLON)}' then ':' when length(t) > 2 then ' ' || {_CARTOUCHE} when ({_WORD})[t] is not null then ' ' || ({_WORD})[t] else '' end), '')) as back from g
+union all select gold_id, text, null from bird_gold where text is null
+""")
 def ucsur_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out lines written in glyphs and read back. No SQL; golden tests."""
+    """Held-out lines written in glyphs and read back."""
     return table(spark, d, "bird_gold").select("gold_id", "text", phonology.ucsur_to_latin(phonology.latin_to_ucsur(F.col("text"))).alias("back"))
 
 
@@ -274,11 +284,38 @@ def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("ord", F.size("c").alias("n_chunks"), F.coalesce(F.array_max(F.transform("c", F.length)), F.lit(0)).alias("longest"))
 
 
+DRAWS = 1_000_003
+
+
 def _draw(*cols: Column) -> Column:
-    return F.xxhash64(F.lit(42), *cols).bitwiseAND(0x7FFFFFFF)
+    """A whole number below DRAWS, drawn by the columns."""
+    return text.text_hash(F.concat_ws("/", F.lit("42"), *[c.cast("string") for c in cols]), DRAWS)
 
 
-@query()
+def _draw_sql(key: str) -> str:
+    return f"list_reduce(list_prepend(0, list_transform(string_split(sha256('42/' || {key}), ''), lambda c: instr('0123456789abcdef', c) - 1)), lambda a, x: (a * 16 + x) % {DRAWS})"
+
+
+_ENDED = "lambda s: case when regexp_matches(s, '[.!?]$') then s else s || '.' end"
+_CHUNKS = f"""
+t as (select ord, {q.strip("coalesce(text, '')")} as t from corpus_filtered),
+s as (select ord, t, list_transform(list_transform({q.sentences("t")}, {_ENDED}), lambda s: {{'done': []::varchar[], 'part': s, 'n': length(s) + 1}}) as l from t),
+f as (select ord, t, case when len(l) > 0 then list_reduce(l, lambda a, x: case when a.n + x.n > {chunks.MAX_CHUNK} then {{'done': list_append(a.done, a.part), 'part': x.part, 'n': x.n - 1}}
+  else {{'done': a.done, 'part': a.part || ' ' || x.part, 'n': a.n + x.n}} end) end as r from s),
+c as (select ord, case when t = '' then [] when length(t) <= {chunks.MAX_CHUNK} then [t] else list_append(r.done, r.part) end as c from f),
+p as (select ord, i - 1 as part, c[i] as chunk from c, unnest(range(1, len(c) + 1)) u(i))"""
+
+
+_PAIRS = f"""
+ss as (select ord, part, {q.sentences("chunk")} as s, {_draw_sql("ord || '/' || part")} as draw from p),
+k as (select ord, part, s, 1 + draw % greatest(least({chunks.PREFIX_SENTENCES}, len(s) - 1), 1) as k from ss where len(s) >= 2),
+y as (select ord, part, array_to_string(list_transform(s[1:k], {_ENDED}), ' ') as prefix, array_to_string(list_transform(s[k + 1:k + {chunks.SUFFIX_SENTENCES}], {_ENDED}), ' ') as suffix from k),
+x as (select * from y where len({q.words("prefix")}) >= {chunks.PREFIX_WORDS})"""
+
+
+@query(f"""
+with {_CHUNKS}, {_PAIRS} select ord, part, prefix, suffix from x
+""")
 def continuation_pairs(spark: SparkSession, d: str) -> DataFrame:
     """A prefix and what follows, of each chunk with two sentences or more."""
     rows = table(spark, d, "corpus_filtered").select("ord", F.posexplode(chunks.packed_chunks(F.col("text"))).alias("part", "chunk"))
@@ -295,3 +332,17 @@ def sft_examples(spark: SparkSession, d: str) -> DataFrame:
     chat = lambda user, assistant: F.array(F.struct(F.lit("user").alias("role"), user.alias("content")), F.struct(F.lit("assistant").alias("role"), assistant.alias("content")))
     messages = F.when(topic, chat(F.concat(F.lit("o toki e ijo "), F.coalesce(F.try_element_at(text.ascii_words(F.col("chunk")), F.lit(1)), F.lit("ale"))), F.col("chunk"))).when(p.isNotNull(), chat(p["prefix"], p["suffix"]))
     return rows.select("ord", "part", "source", F.when(topic, "topic").otherwise("continuation").alias("mode"), messages.alias("messages")).where("messages IS NOT NULL")
+
+
+@query(f"""
+with {_CHUNKS}, {_PAIRS},
+m as (select ord, part, chunk, {_draw_sql("ord || '/' || part || '/mode'")} % 1000 < 200 as topic from p),
+e as (select ord, part, topic, case when topic then 'o toki e ijo ' || coalesce(({q.words("chunk")})[1], 'ale') else prefix end as ask, case when topic then chunk else suffix end as say
+  from m left join x using (ord, part) where topic or prefix is not null)
+select ord, part, case when topic then 'topic' else 'continuation' end as mode, 0 as turn, 'user' as role, ask as content from e
+union all select ord, part, case when topic then 'topic' else 'continuation' end, 1, 'assistant', say from e
+""")
+def sft_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of sft_examples, a row each."""
+    turns = sft_examples(spark, d).select("ord", "part", "mode", F.posexplode("messages").alias("turn", "m"))
+    return turns.select("ord", "part", "mode", "turn", "m.role", "m.content")

@@ -85,6 +85,11 @@ def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     return kept.select(F.col("title").alias("id"), text.strip_wikitext(body).alias("text")).where("text <> ''")
 
 
+def wiki_sentences(spark: SparkSession, path: str) -> DataFrame:
+    """(id, place, text) of the sentences of a wiki dump's articles, compressed or not."""
+    return wiki_pages(spark, path).select("id", F.posexplode(text.sentences(F.col("text"))).alias("place", "text"))
+
+
 def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """JSON lines. strict: a bad line fails the query; else it is skipped."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
@@ -144,7 +149,9 @@ def load_corpus(spark: SparkSession, sources: list[Source], chosen: list[str] |
     return out, failed
 
 
-def newest(listing: DataFrame, group: str, wanted: list[str]) -> DataFrame:
-    """(group, name, file) of the newest run of each group that has a wanted file. listing: group, name, file. Names sort by time; of several wanted files the first named is taken."""
+def newest(listing: DataFrame, group: str, wanted: list[str], unwanted: str | None = None) -> DataFrame:
+    """(group, name, file) of the newest run of each group that has a wanted file. listing: group, name, file. Names sort by time; of several wanted files the first named is taken. Names that match the pattern ``unwanted``, as of trial runs, are passed over."""
+    if unwanted is not None:
+        listing = listing.where(~F.col("name").rlike(unwanted))
     rank = F.array_position(F.array(*[F.lit(w) for w in wanted]), F.col("file"))
     return listing.where(rank > 0).withColumn("r", -rank).groupBy(group).agg(F.max_by(F.struct("name", "file"), F.struct("name", "r")).alias("m")).select(group, "m.name", "m.file")

@@ -210,3 +210,11 @@ def test_tracked_and_paced_streams(spark, tmp_path):
         assert said and all(x.endswith("\t4") for x in said)
     finally:
         q.stop()
+
+
+def test_wiki_sentences_and_newest_real_run(spark, tmp_path):
+    page = "<mediawiki><page><title>A</title><ns>0</ns><revision><text>mi pona. sina {{x}} ike!\nona</text></revision></page></mediawiki>"
+    (tmp_path / "w.xml").write_text(page)
+    assert rows(readers.wiki_sentences(spark, str(tmp_path / "w.xml"))) == [("A", 0, "mi pona."), ("A", 1, "sina  ike!"), ("A", 2, "ona")]
+    df = spark.createDataFrame([("q", "q-1", "final"), ("q", "q-2-smoke", "final"), ("q", "q-0", "final")], "grp string, name string, file string")
+    assert rows(readers.newest(df, "grp", ["final"], unwanted="smoke")) == [("q", "q-1", "final")]
