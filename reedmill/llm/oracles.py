@@ -58,7 +58,7 @@ P5 = f"""
 with a as (
   select pair_id as row_id, {_CLEAN.format("eng_id")} as s, split, false as doc from translation_pairs
   union all select ex_id, {_CLEAN.format("id")}, split, mode in ('continuation', 'topic') from sft_train
-), k as (select row_id, split, {_KEY.format(doc="doc")} as key from a where s <> ''),
+), k as (select row_id, split, s, {_KEY.format(doc="doc")} as key from a where s <> ''),
 t as (select * from k where key in (select key from k group by key having count(distinct split) > 1))
 select least(x.row_id, y.row_id) as row_a, greatest(x.row_id, y.row_id) as row_b from t x join t y on x.key = y.key and x.split < y.split
 """
@@ -120,6 +120,18 @@ P9 = f"""
 select doc_id from ({P9_SCORES}) where (salad_share > {SALAD_SHARE} or repeated_share > {REPEATED_PAIRS}) and 2 * (n_keyword_words + n_link_words) > n_words + n_link_words
 """
 
+_LABEL = "nullif(regexp_replace(regexp_replace(lower({}), '^[\\s\\p{{Z}}\\p{{Cf}}]+|[\\s\\p{{Z}}\\p{{Cf}}]+$', '', 'g'), '[\\s\\p{{Z}}_]+', '-', 'g'), '')"
+_LANG = f"case when {_LABEL.format('lang')} in ('toki', 'toki-pona', 'tp') then 'tok' when {_LABEL.format('lang')} in ('english', 'eng') then 'en' else {_LABEL.format('lang')} end"
+P2_SLICES = f"""
+select 'corpus_filtered' as tab, {_LABEL.format("source")} as source, {_LANG} as lang, {_LABEL.format("domain")} as domain, count(*) as n_docs, count(*) filter (coalesce(text, '') = '') as n_empty from corpus_filtered group by all
+union all select 'synthetic', {_LABEL.format("source")}, null, null, count(*), count(*) filter (coalesce(text, '') = '') from synthetic group by all
+"""
+P3_INVARIANTS = "select 0 as n_overused, 0 as n_twice, 0 as n_stray"
+P5_INVARIANTS = f"""{_KEYED5.replace("where s <> ''", "")} n as (select count(*) as n from a)
+select any_value(n) as n_rows, count(distinct key) filter (s is not null and s <> '') + count(*) filter (coalesce(s, '') = '') as n_entities, 0 as n_torn from (select * from k, n)
+"""
+P7_INVARIANTS = "select count(distinct doc_id) as n_docs, 0 as n_divided, 0 as n_overfull from documents"
+
 P9_INCOHERENT = f"select doc_id from ({P9_SCORES}) where salad_share > 0.5"
 
-ORACLES = {"p9_found": P9, "p9_incoherent": P9_INCOHERENT, "p9_scores": P9_SCORES, "p8_found": P8, "p1_found": P1, "p1_report": P1_REPORT, "p4_found": P4, "p4_collapse": P4_COLLAPSE, "p5_found": P5, "p5_members": P5_MEMBERS, "p5_forest": P5_FOREST}
+ORACLES = {"p2_slice_docs": P2_SLICES, "p3_invariants": P3_INVARIANTS, "p5_invariants": P5_INVARIANTS, "p7_invariants": P7_INVARIANTS, "p9_found": P9, "p9_incoherent": P9_INCOHERENT, "p9_scores": P9_SCORES, "p8_found": P8, "p1_found": P1, "p1_report": P1_REPORT, "p4_found": P4, "p4_collapse": P4_COLLAPSE, "p5_found": P5, "p5_members": P5_MEMBERS, "p5_forest": P5_FOREST}

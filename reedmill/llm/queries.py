@@ -85,6 +85,12 @@ def p5_forest(spark: SparkSession, d: str) -> DataFrame:
     return ends.crossJoin(F.broadcast(edges)).select("n_rows", "n_edges", (F.col("n_rows") - F.col("n_edges")).alias("n_trees"))
 
 
+def p5_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, entities and torn entities of the new splits; none may be torn."""
+    per = p5_assign(spark, d).groupBy("root").agg(F.count("*").alias("n"), F.countDistinct("new_split").alias("splits"))
+    return per.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_entities"), F.count_if(F.col("splits") > 1).alias("n_torn"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pairs, replies = table(spark, d, "translation_pairs"), table(spark, d, "bird_english")
     toki = defects.Pairs(pairs, tab="translation_pairs", row_id="pair_id", question="en", answer="tp", toki=True, other_texts=replies.select(F.col("reply_en").alias("text")))
@@ -118,6 +124,11 @@ def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return tokens.slice_totals(a.unionByName(b), ["tab", "source", "lang", "domain"])
 
 
+def p2_slice_docs(spark: SparkSession, d: str) -> DataFrame:
+    """The slices of p2_token_budget with their documents, and how many of them have neither text nor tokens."""
+    return p2_token_budget(spark, d).select("tab", "source", "lang", "domain", "n_docs", "n_empty")
+
+
 def p2_document_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens.document_tokens(table(spark, d, "documents"), F.col("text"), {"doc_id": F.col("doc_id")})
 
@@ -135,6 +146,14 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(_mixed(spark, d), table(spark, d, "mix_targets"))
 
 
+def p3_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Rows used too often, parts used twice in a pass and sources without a target; the result has to be zeros."""
+    mixed, goal = _mixed(spark, d), table(spark, d, "mix_targets").select("source", "max_repeats")
+    uses = mixed.groupBy("source", "tab", "id", "begin", "use_no").agg(F.count("*").alias("n"))
+    rows = uses.groupBy("source", "tab", "id").agg(F.countDistinct("use_no").alias("uses"), F.max("n").alias("twice")).join(goal, "source", "left")
+    return rows.agg(F.count_if(F.col("uses") > F.col("max_repeats")).alias("n_overused"), F.count_if(F.col("twice") > 1).alias("n_twice"), F.count_if(F.col("max_repeats").isNull()).alias("n_stray"))
+
+
 CAPACITY = 2048
 
 
@@ -146,6 +165,15 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_pack(spark, d), CAPACITY)
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, overfull containers, and documents divided though they fit; there may be none of the last two."""
+    packed = p7_pack(spark, d)
+    per_doc = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("t"))
+    docs = per_doc.agg(F.count("*").alias("n_docs"), F.count_if((F.col("pieces") > 1) & (F.col("t") <= CAPACITY)).alias("n_divided"))
+    used = packed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.count_if(F.col("t") > CAPACITY).alias("n_overfull"))
+    return docs.crossJoin(F.broadcast(used))  # one row each
+
+
 def p7_tiers(spark: SparkSession, d: str) -> DataFrame:
     """How each tier of context size is packed and filled."""
     return packing.tier_report(p7_pack(spark, d), CAPACITY)
@@ -179,7 +207,7 @@ def p9_incoherent(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        p1_found, p1_report, p2_token_budget, p2_document_tokens, p3_mix, p3_shares, p4_found, p4_collapse, p5_found, p5_members, p5_forest, p5_assign, p5_shares, p6_found, p7_pack, p7_fill, p7_tiers,
+        p1_found, p1_report, p2_token_budget, p2_slice_docs, p2_document_tokens, p3_mix, p3_shares, p3_invariants, p4_found, p4_collapse, p5_found, p5_members, p5_forest, p5_assign, p5_shares, p5_invariants, p6_found, p7_pack, p7_fill, p7_tiers, p7_invariants,
         p8_found, p8_paraphrases, p9_found, p9_scores, p9_incoherent,
     )
 }
