@@ -11,7 +11,7 @@ from ..functions import phonology, text
 from ..functions.script import GLYPH_OF, LETTER_WORDS, MIDDLE_COLON, NAME_END, NAME_START, WORD_OF, WORDS, tidy_label
 from ..operators import chunks, gates
 from ..operators.metrics import share
-from ..session import table
+from ..session import spread, table
 from . import sqltext as q
 from .registry import query
 
@@ -20,7 +20,7 @@ TIDY = "nullif(regexp_replace(lower(trim({}, ' \t\r\n')), '[\\s_]+', '-', 'g'),
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "source", "lang", F.explode(text.sentences(F.col("text"))).alias("s"))
+    return spread(table(spark, d, "documents")).select("doc_id", "source", "lang", F.explode(text.sentences(F.col("text"))).alias("s"))
 
 
 SENTENCES = f"sents as (select doc_id, source, lang, unnest({q.sentences('text')}) as s from documents)"
@@ -34,7 +34,7 @@ from k group by rollup (source)
 """)
 def filter_report_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Documents and characters kept and dropped by the letter filter, by source and in total."""
-    rows = table(spark, d, "documents").select("source", F.coalesce(F.length("text"), F.lit(0)).alias("n"), (gates.letter_ratio(F.col("text")) <= RATIO).alias("keep"))
+    rows = spread(table(spark, d, "documents")).select("source", F.coalesce(F.length("text"), F.lit(0)).alias("n"), (gates.letter_ratio(F.col("text")) <= RATIO).alias("keep"))
     out = rows.rollup("source").agg(
         F.count("*").alias("docs"), F.count_if("keep").alias("docs_kept"), F.count_if(~F.col("keep")).alias("docs_dropped"),
         F.sum(F.when(F.col("keep"), F.col("n"))).alias("chars_kept"), F.sum(F.when(~F.col("keep"), F.col("n"))).alias("chars_dropped"),
@@ -45,7 +45,7 @@ def filter_report_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select doc_id, round(r, 6) as ratio from (select doc_id, {q.letter_ratio('text')} as r from documents) where r <= {RATIO}")
 def letter_ratio_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", gates.letter_ratio(F.col("text")).alias("r"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", gates.letter_ratio(F.col("text")).alias("r"))
     return rows.where(F.col("r") <= RATIO).select("doc_id", F.round("r", 6).alias("ratio"))
 
 
@@ -60,12 +60,12 @@ def lang_line_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select doc_id, len({q.sentences('text')}) as n_sentences from documents where text is not null")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+    return spread(table(spark, d, "documents")).where("text IS NOT NULL").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n_sentences"))
 
 
 @query(f"select doc_id, len({q.bare_sentences('text')}) as n_sentences from documents where text is not null")
 def sentence_split_bare(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(text.bare_sentences(F.col("text"))).cast("long").alias("n_sentences"))
+    return spread(table(spark, d, "documents")).where("text IS NOT NULL").select("doc_id", F.size(text.bare_sentences(F.col("text"))).cast("long").alias("n_sentences"))
 
 
 @query(f"""
@@ -77,7 +77,7 @@ def sentence_stats(spark: SparkSession, d: str) -> DataFrame:
     """Documents, words, characters and sentences by source."""
     s = _sentences(spark, d).groupBy("source").agg(F.count("*").alias("sentences"), F.countDistinct(F.lower("s")).alias("distinct_sentences"))
     words = F.when(F.col("text").isNotNull(), F.size(text.ascii_words(F.col("text"))))
-    c = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("docs"), F.sum(words).alias("words"), F.sum(F.length("text")).alias("chars"))
+    c = spread(table(spark, d, "documents")).groupBy("source").agg(F.count("*").alias("docs"), F.sum(words).alias("words"), F.sum(F.length("text")).alias("chars"))
     return c.join(s, "source", "left").fillna(0, ["sentences", "distinct_sentences"])
 
 
@@ -86,7 +86,7 @@ select w as word, count(*) as n from (select unnest(regexp_extract_all(lower(tex
 """)
 def word_freq_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 100 most frequent words, ties by word."""
-    words = table(spark, d, "documents").select(F.explode(text.lower_words(F.col("text"))).alias("word"))
+    words = spread(table(spark, d, "documents")).select(F.explode(text.lower_words(F.col("text"))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(100)
 
 
@@ -108,7 +108,7 @@ select doc_id, considered, passed, round(case when considered = 0 then 1.0 else
 def sentence_pass_rate(spark: SparkSession, d: str) -> DataFrame:
     """Share of each document's sentences that pass the relaxed gate; sentences without words don't count."""
     reasons = F.transform(text.sentences(F.col("text")), lambda s: gates.sentence_reason(s, gates.RELAXED))
-    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", reasons.alias("rs"))
+    rows = spread(table(spark, d, "documents")).where("text IS NOT NULL").select("doc_id", reasons.alias("rs"))
     counted = rows.select("doc_id", F.size(F.filter("rs", lambda r: r != "skip")).cast("long").alias("considered"), F.size(F.filter("rs", lambda r: r == "")).cast("long").alias("passed"))
     rate = F.when(F.col("considered") == 0, 1.0).otherwise(share(F.col("passed"), F.col("considered")))
     return counted.select("*", F.round(rate, 6).alias("rate"), (rate >= 0.5).alias("keep"))
@@ -180,7 +180,7 @@ select lang, count(*) as n_words, count(*) filter ({q.legal("w")}) as n_legal, r
 """)
 def legal_word_share(spark: SparkSession, d: str) -> DataFrame:
     """Distinct words of legal shape by language label."""
-    w = table(spark, d, "documents").select("lang", F.explode(text.lower_words(F.col("text"))).alias("w")).distinct()
+    w = spread(table(spark, d, "documents")).select("lang", F.explode(text.lower_words(F.col("text"))).alias("w")).distinct()
     ok = F.count_if(phonology.is_legal_word(F.col("w")))
     return w.groupBy("lang").agg(F.count("*").alias("n_words"), ok.alias("n_legal"), F.round(ok / F.count("*"), 6).alias("legal_share"))
 
@@ -194,14 +194,14 @@ select len(regexp_extract_all({_CODA}, '[{phonology.CONSONANTS}]?[{phonology.VOW
 """)
 def syllabify_counts(spark: SparkSession, d: str) -> DataFrame:
     """Distinct words by number of syllables."""
-    w = table(spark, d, "documents").select(F.explode(text.lower_words(F.col("text"))).alias("w")).distinct()
+    w = spread(table(spark, d, "documents")).select(F.explode(text.lower_words(F.col("text"))).alias("w")).distinct()
     return w.groupBy(F.size(phonology.syllables(F.col("w"))).alias("n_syllables")).agg(F.count("*").alias("n_words"))
 
 
 @query("select doc_id, length(regexp_replace(text, '</?[a-zA-Z][^>]*>', '', 'g')) as n, sha256(regexp_replace(text, '</?[a-zA-Z][^>]*>', '', 'g')) as h from documents where text is not null")
 def html_tag_strip(spark: SparkSession, d: str) -> DataFrame:
     plain = text.strip_html(F.col("text"))
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.length(plain).cast("long").alias("n"), F.sha2(plain, 256).alias("h"))
+    return spread(table(spark, d, "documents")).where("text IS NOT NULL").select("doc_id", F.length(plain).cast("long").alias("n"), F.sha2(plain, 256).alias("h"))
 
 
 def _nested(t: str, steps: list[tuple[str, str]]) -> str:
@@ -216,7 +216,7 @@ def _quoted(steps: list[tuple[str, str]]) -> list[tuple[str, str]]:
 
 @query(f"select doc_id, length(t) as n, sha256(t) as h from (select doc_id, {q.strip(_nested('text', _quoted(text.MARKDOWN_STEPS)))} as t from documents where text is not null)")
 def markdown_strip(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.strip_markdown(F.col("text")).alias("t"))
+    rows = spread(table(spark, d, "documents")).where("text IS NOT NULL").select("doc_id", text.strip_markdown(F.col("text")).alias("t"))
     return rows.select("doc_id", F.length("t").cast("long").alias("n"), F.sha2("t", 256).alias("h"))
 
 
@@ -232,7 +232,7 @@ def _wiki_sql(t: str) -> str:
 @query(f"select doc_id, length(t) as n, sha256(t) as h from (select doc_id, {_wiki_sql('text')} as t from documents where text is not null)")
 def wikitext_strip(spark: SparkSession, d: str) -> DataFrame:
     """Plain text of wiki markup."""
-    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.strip_wikitext(F.col("text")).alias("t"))
+    rows = spread(table(spark, d, "documents")).where("text IS NOT NULL").select("doc_id", text.strip_wikitext(F.col("text")).alias("t"))
     return rows.select("doc_id", F.length("t").alias("n"), F.sha2("t", 256).alias("h"))
 
 

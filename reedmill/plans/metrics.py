@@ -10,7 +10,7 @@ from ..functions.phonology import is_legal_word
 from ..functions.script import WORDS, tidy_label
 from ..operators import chunks, gates, inline
 from ..operators import metrics as m
-from ..session import table
+from ..session import spread, table
 from . import sqltext as q
 from .corpus import RATIO, SENTENCES, TIDY
 from .registry import query
@@ -57,7 +57,7 @@ select source, nonempty, round(doc_keep, 6) as doc_keep_rate, round(coalesce(sen
 """)
 def generation_health(spark: SparkSession, d: str) -> DataFrame:
     """Keep rates over documents and sentences, and n-gram variety averaged over non-blank texts, by source."""
-    docs = table(spark, d, "documents").where(text.strip(F.coalesce("text", F.lit(""))) != "")
+    docs = spread(table(spark, d, "documents")).where(text.strip(F.coalesce("text", F.lit(""))) != "")
     w = docs.select("source", (gates.letter_ratio(F.col("text")) <= RATIO).cast("double").alias("kept"), text.lower_words(F.col("text")).alias("w"))
     per = w.groupBy("source").agg(
         F.count("*").alias("nonempty"), F.round(F.avg("kept"), 6).alias("doc_keep_rate"),
@@ -86,7 +86,7 @@ select g.source, round(coalesce(pooled, 0), 6) as pooled_coverage, round(per_tex
 """)
 def vocab_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Share of the core vocabulary used, pooled and by text; unknown words; word forms. Names count as forms only."""
-    w = table(spark, d, "documents").where(text.strip(F.coalesce("text", F.lit(""))) != "").select("source", text.ascii_words(F.col("text")).alias("w"))
+    w = spread(table(spark, d, "documents")).where(text.strip(F.coalesce("text", F.lit(""))) != "").select("source", text.ascii_words(F.col("text")).alias("w"))
     low = w.select("source", "w", F.filter("w", lambda x: x.rlike("^[a-z]")).alias("low"))
     core = lambda x: F.lower(x).isin(_CORE)
     per = low.groupBy("source").agg(
@@ -104,7 +104,7 @@ select source, count(*) as n_scored, round(avg(case when f > 0.4 then 1.0 else 0
 """)
 def loop_rate(spark: SparkSession, d: str) -> DataFrame:
     """Texts of three words or more in which one word makes up over two fifths."""
-    w = table(spark, d, "synthetic").where("text IS NOT NULL").select(tidy_label(F.col("source")).alias("source"), text.lower_words(F.col("text")).alias("w")).where(F.size("w") >= 3)
+    w = spread(table(spark, d, "synthetic")).where("text IS NOT NULL").select(tidy_label(F.col("source")).alias("source"), text.lower_words(F.col("text")).alias("w")).where(F.size("w") >= 3)
     f = w.select("source", (gates.most_common(F.col("w")) / F.size("w")).alias("f"))
     return f.groupBy("source").agg(F.count("*").alias("n_scored"), F.round(F.avg((F.col("f") > 0.4).cast("double")), 6).alias("loop_rate"), F.round(F.avg("f"), 6).alias("mean_top_share"))
 
@@ -114,7 +114,7 @@ with t as (select syn_id, regexp_extract_all(lower(text), '[a-z]+') as w from sy
 select syn_id, round({_distinct_sql(1)}, 6) as distinct_1, round({_distinct_sql(2)}, 6) as distinct_2, round({_distinct_sql(3)}, 6) as distinct_3 from t
 """)
 def distinct_n(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "synthetic").where("text IS NOT NULL").select("syn_id", text.lower_words(F.col("text")).alias("w"))
+    w = spread(table(spark, d, "synthetic")).where("text IS NOT NULL").select("syn_id", text.lower_words(F.col("text")).alias("w"))
     return w.select("syn_id", *[F.round(chunks.distinct_share(F.col("w"), n), 6).alias(f"distinct_{n}") for n in (1, 2, 3)])
 
 
@@ -123,7 +123,7 @@ with t as (select syn_id, regexp_extract_all(lower(text), '[a-z]+') as w from sy
 select syn_id, len(w) as n_words, {q.most("w")} as top_word, {q.most(q.pairs("w"))} as top_pair from t
 """)
 def repetition_stats(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "synthetic").where("text IS NOT NULL").select("syn_id", text.lower_words(F.col("text")).alias("w"))
+    w = spread(table(spark, d, "synthetic")).where("text IS NOT NULL").select("syn_id", text.lower_words(F.col("text")).alias("w"))
     return w.select("syn_id", F.size("w").cast("long").alias("n_words"), gates.most_common(F.col("w")).cast("long").alias("top_word"), gates.most_common(gates.bigrams(F.col("w"))).cast("long").alias("top_pair"))
 
 
