@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import settled
 from ..functions.script import letter_words
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 RUN, WINDOW, STRIDE = 12, 8, 5
 SPAN = 48  # at most 64, the bits of a word
@@ -296,7 +296,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id:
     Null and blank texts give nothing, texts of less than 12 words no run; a document id given repeatedly gives one row an item; an empty corpus or test set gives no rows.
     """
     spark = docs.sparkSession
-    corpus = settled(docs.select(F.col(doc_id).alias("doc"), word_hashes(F.col(text)).alias("h"))).where(F.size("h") > 0)
+    corpus = settled(spread(docs).select(F.col(doc_id).alias("doc"), word_hashes(F.col(text)).alias("h"))).where(F.size("h") > 0)
     corpus = cut_lineage(in_pieces(corpus, PIECE, SPAN))
     tests = cut_lineage(settled(items.select(F.col(item_id).alias("doc"), word_hashes(F.col(item_text)).alias("h"))).where(F.size("h") > 0).distinct())
     schema = f"item {dict(items.dtypes)[item_id]}, doc {dict(docs.dtypes)[doc_id]}, kind string, share double"

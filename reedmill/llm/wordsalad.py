@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import let, settled
 from ..functions.script import WORDS, glyphs_to_latin
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 BLOCK = 12
 SMOOTH = 3e-4
@@ -56,7 +56,7 @@ def keyword_words(words: Column) -> Column:
 def read_pages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(page, doc, n_link_words, n_keyword_words, h) of every row with a word or link: ``page`` tells rows apart whatever their id, h holds the words' hashes."""
     words, links = page_words(F.col(text))
-    parsed = settled(docs.select(F.col(doc_id).alias("doc"), words.alias("w"), links.alias("n_link_words"))).where((F.size("w") > 0) | (F.col("n_link_words") > 0))
+    parsed = settled(spread(docs).select(F.col(doc_id).alias("doc"), words.alias("w"), links.alias("n_link_words"))).where((F.size("w") > 0) | (F.col("n_link_words") > 0))
     counted = parsed.select("doc", "n_link_words", keyword_words(F.col("w")).alias("n_keyword_words"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     return cut_lineage(counted.withColumn("page", F.monotonically_increasing_id()))
 
