@@ -152,16 +152,24 @@ class Index:
         rng = np.random.default_rng(seed)
         self.centroids = v[rng.permutation(len(v))[: max(1, int(len(v) ** 0.5))]].copy()
         for _ in range(4):
-            near = np.argmax(v @ self.centroids.T, axis=1) if len(v) else np.zeros(0, np.int64)
+            near = np.concatenate([np.argmax(sim, axis=1) for _, sim in self._by_block(v)] or [np.zeros(0, np.int64)])
             for c in range(len(self.centroids)):
                 if (own := v[near == c]).size:
                     self.centroids[c] = own.sum(0) / max(1e-9, float(np.linalg.norm(own.sum(0))))
-        self.lists = []
-        sim = v @ self.centroids.T
-        best = sim.max(axis=1, initial=-1)
-        for c in range(len(self.centroids)):
-            own = np.flatnonzero(sim[:, c] >= best - TIE)
-            self.lists.append((own, v[own]))
+        window, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, sim in self._by_block(v):
+            i, j = np.nonzero(sim >= sim.max(axis=1, keepdims=True) - TIE)
+            window.append(at + i)
+            c.append(j)
+        window, c = np.concatenate(window), np.concatenate(c)
+        order = np.argsort(c, kind="stable")
+        cuts = np.searchsorted(c[order], np.arange(1, len(self.centroids)))
+        self.lists = [(own, v[own]) for own in np.split(window[order], cuts)]
+
+    def _by_block(self, v: np.ndarray, rows: int = 8192) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, similarities to the centroids) of blocks of bounded size."""
+        for at in range(0, len(v), rows):
+            yield at, v[at : at + rows] @ self.centroids.T
 
     def candidates(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of v, item window) of at least MIN_COSINE in the nearest list."""
