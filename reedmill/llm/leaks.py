@@ -211,7 +211,7 @@ def _runs(shared):
             good = same_run(words, place[row], index.words, index.at[window])
             pairs = np.unique(text[row[good]] * len(index.ids) + index.item[window[good]])
             if len(pairs):
-                yield pd.DataFrame({"item": index.ids[pairs % len(index.ids)], "doc": ids[pairs // len(index.ids)], "kind": "run", "share": 1.0})
+                yield pd.DataFrame({"item": index.ids[pairs % len(index.ids)], "doc": ids[pairs // len(index.ids)], "kind": "run", "share": 1.0, "answered": pd.array([None] * len(pairs), "boolean")})
 
     return run
 
@@ -281,15 +281,26 @@ def common_subsequence(a: list, b: list) -> int:
     return len(a) - bin(row).count("1")
 
 
+def holds(text: np.ndarray, run: np.ndarray) -> bool:
+    """Whether the words of run stand in text one after the other; an empty run doesn't."""
+    n = len(text) - len(run) + 1
+    if not len(run) or n < 1:
+        return False
+    at = np.flatnonzero(text[:n] == run[0])
+    return bool((text[at[:, None] + np.arange(len(run))] == run).all(axis=1).any()) if len(at) else False
+
+
 def _paraphrases(shared, least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        item_ids, words, item_codes = shared.value
+        item_ids, words, item_codes, answers = shared.value
         for ids, hashes, lengths in _chunks(batches):
             if len(words):
                 at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
                 d, i, share = _near(np.where(words[at] == hashes, at + 1, 0), lengths, item_codes, len(words), least)
                 if len(d):
-                    yield pd.DataFrame({"item": item_ids[i], "doc": ids[d], "kind": "paraphrase", "share": share})
+                    ends = np.cumsum(lengths)
+                    answered = [None if answers[y] is None else holds(hashes[ends[x] - lengths[x] : ends[x]], answers[y]) for x, y in zip(d, i, strict=True)]
+                    yield pd.DataFrame({"item": item_ids[i], "doc": ids[d], "kind": "paraphrase", "share": share, "answered": pd.array(answered, "boolean")})
 
     return run
 
@@ -297,18 +308,20 @@ def _paraphrases(shared, least: float):
 # --- Spark -------------------------------------------------------------------------------------------------------------------------
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, item_text: str, paraphrase: float = 1.0) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, item_text: str, paraphrase: float = 1.0, answer: str | None = None) -> DataFrame:
     """(item_id, doc_id, kind, share). kind ``run``: at least 12 consecutive words in common. With paraphrase < 1, also the other pairs of which a span of the document and the item
-    have at least that share of the shorter side as their longest common subsequence.
+    have at least that share of the shorter side as their longest common subsequence. With the items' column ``answer``, a column ``answered`` says of a paraphrase whether the words of
+    the item's answer stand together in the same piece of the document (PIECE words); null for runs and for items without an answer.
 
     Null and blank texts give nothing, texts of less than 12 words no run; a document id given repeatedly gives one row an item; an empty corpus or test set gives no rows.
     """
     spark = docs.sparkSession
     corpus = settled(spread(docs).select(F.col(doc_id).alias("doc"), word_hashes(F.col(text)).alias("h"))).where(F.size("h") > 0)
     corpus = cut_lineage(in_pieces(corpus, PIECE, SPAN))
-    tests = cut_lineage(settled(items.select(F.col(item_id).alias("doc"), word_hashes(F.col(item_text)).alias("h"))).where(F.size("h") > 0).distinct())
-    schema = f"item {dict(items.dtypes)[item_id]}, doc {dict(docs.dtypes)[doc_id]}, kind string, share double"
-    weights = latent_space(corpus, tests)
+    said = word_hashes(F.col(answer)) if answer else F.array().cast("array<bigint>")
+    tests = cut_lineage(settled(items.select(F.col(item_id).alias("doc"), word_hashes(F.col(item_text)).alias("h"), said.alias("answer"))).where(F.size("h") > 0).distinct())
+    schema = f"item {dict(items.dtypes)[item_id]}, doc {dict(docs.dtypes)[doc_id]}, kind string, share double, answered boolean"
+    weights = latent_space(corpus, tests.select("doc", "h"))
     cut = in_pieces(tests, ITEM_PIECE, RUN - 1).withColumn("part", F.xxhash64("doc", "h"))
     blocks = max(1, -(-int(cut.agg(F.sum(F.size("h"))).first()[0] or 0) // WINDOWS_A_BLOCK))
     found = []
@@ -321,10 +334,11 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id:
         part = tests.where(F.pmod(F.xxhash64("doc"), F.lit(blocks)) == block).orderBy("doc").collect()  # about ITEMS_A_BLOCK rows
         texts = [np.array(r["h"], np.int64) for r in part]
         words = np.unique(np.concatenate([np.zeros(0, np.int64), *texts]))
-        shared = spark.sparkContext.broadcast((np.array([r["doc"] for r in part]), words, [np.searchsorted(words, h) + 1 for h in texts]))
+        shared = spark.sparkContext.broadcast((np.array([r["doc"] for r in part]), words, [np.searchsorted(words, h) + 1 for h in texts], [np.array(r["answer"], np.int64) if len(r["answer"]) else None for r in part]))
         found.append(corpus.mapInPandas(_paraphrases(shared, paraphrase), schema))
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
-    best = F.max(F.struct((F.col("kind") == "run").alias("run"), "share", "kind"))  # a run goes before a paraphrase
-    return out.groupBy("item", "doc").agg(best.alias("b")).select(F.col("item").alias(item_id), F.col("doc").alias(doc_id), "b.kind", "b.share")
+    best = F.max(F.struct((F.col("kind") == "run").alias("run"), F.coalesce("answered", F.lit(False)).alias("sure"), "share", "kind", "answered"))  # a run goes before a paraphrase
+    found_pairs = out.groupBy("item", "doc").agg(best.alias("b"))
+    return found_pairs.select(F.col("item").alias(item_id), F.col("doc").alias(doc_id), "b.kind", "b.share", *(["b.answered"] if answer else []))

@@ -105,6 +105,19 @@ def test_paraphrases_equal_brute_force(spark, leak_data):
     assert sum(d >= 1000 for _, d, _ in want) >= 52
 
 
+def test_answers_of_paraphrases(spark, leak_data):
+    items = [(i, t, a) for (i, t), a in zip(leak_data[0], ["kili loje", None, "", "waso"], strict=False)]
+    docs = []
+    for i, t, _ in items:
+        w = t.split()[:40]
+        changed = " ".join("gro" if k % 9 == 4 else x for k, x in enumerate(w))
+        docs += [(10 + i, changed), (20 + i, changed + " zzz Kili, loje! waso")]
+    args = {"doc_id": "doc_id", "text": "text", "item_id": "item_id", "item_text": "text", "paraphrase": 0.7, "answer": "answer"}
+    out = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, answer string"), **args)
+    got = {(r.item_id, r.doc_id): r.answered for r in out.where("kind = 'paraphrase'").collect()}
+    assert got[0, 10] is False and got[0, 20] is True and got[1, 11] is None and got[2, 22] is None and got[3, 23] is True
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
