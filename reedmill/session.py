@@ -34,7 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its source has tasks for at most half of them, as of one small file. A source of many files or row groups is left as it is, so nothing is shuffled at scale."""
+    """df over all cores where its source has tasks for at most half of them, as of one small file. A source of many files or row groups is left as it is, so nothing is shuffled at scale, and so is
+    the result of a shuffle, whose tasks would have to be run to be counted."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 

@@ -218,3 +218,18 @@ def test_wiki_sentences_and_newest_real_run(spark, tmp_path):
     assert rows(readers.wiki_sentences(spark, str(tmp_path / "w.xml"))) == [("A", 0, "mi pona."), ("A", 1, "sina  ike!"), ("A", 2, "ona")]
     df = spark.createDataFrame([("q", "q-1", "final"), ("q", "q-2-smoke", "final"), ("q", "q-0", "final")], "grp string, name string, file string")
     assert rows(readers.newest(df, "grp", ["final"], unwanted="smoke")) == [("q", "q-1", "final")]
+
+
+def test_spread_and_checked_broadcasts(spark, tmp_path):
+    from reedmill.session import small_side, spread, written
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 100
+    many = spark.range(0, 100, 1, 4)
+    assert spread(many) is many and spread(grouped := many.groupBy("id").count()) is grouped
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    wide = spark.range(50).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    assert hinted(small_side(wide)) and not hinted(small_side(wide, max_rows=49)) and not hinted(small_side(wide, max_bytes=40_000))
+    kept = written(spark.range(10).select("id", (F.col("id") % 2).alias("k")), "k")
+    assert rows(kept.where("k = 1").select("id")) == [(1,), (3,), (5,), (7,), (9,)]

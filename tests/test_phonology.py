@@ -2,6 +2,9 @@ from reedmill.functions.phonology import is_legal_word, latin_to_ucsur, syllable
 from reedmill.functions.script import GLYPH_OF, LONG_NAME_END, LONG_NAME_START, MIDDLE_COLON, MIDDLE_DOT, NAME_END, NAME_START, WORDS
 
 
+# The golden cases of this file must hold as they are.
+
+
 def g(*words):
     return "".join(GLYPH_OF[w] for w in words)
 
