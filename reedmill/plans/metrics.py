@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.bind import settled
 from ..functions.phonology import is_legal_word
 from ..functions.script import WORDS, tidy_label
 from ..operators import chunks, gates, inline
@@ -58,7 +59,7 @@ select source, nonempty, round(doc_keep, 6) as doc_keep_rate, round(coalesce(sen
 def generation_health(spark: SparkSession, d: str) -> DataFrame:
     """Keep rates over documents and sentences, and n-gram variety averaged over non-blank texts, by source."""
     docs = spread(table(spark, d, "documents")).where(text.strip(F.coalesce("text", F.lit(""))) != "")
-    w = docs.select("source", (gates.letter_ratio(F.col("text")) <= RATIO).cast("double").alias("kept"), text.lower_words(F.col("text")).alias("w"))
+    w = settled(docs.select("source", (gates.letter_ratio(F.col("text")) <= RATIO).cast("double").alias("kept"), text.lower_words(F.col("text")).alias("w")))
     per = w.groupBy("source").agg(
         F.count("*").alias("nonempty"), F.round(F.avg("kept"), 6).alias("doc_keep_rate"),
         *[F.round(F.avg(chunks.distinct_share(F.col("w"), n)), 6).alias(f"distinct_{n}") for n in (1, 2, 3)], F.round(F.avg(F.size("w")), 6).alias("avg_words"),
